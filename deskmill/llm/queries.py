@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskmill.llm import queries_native
 from deskmill.llm.common import shared_folder, table
 
 
@@ -23,5 +24,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op6_packing)}
-ORACLES: dict[str, str] = {}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskmill.llm.simhash import fingerprints, hamming_components
+
+    return hamming_components(fingerprints(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op6_packing, op9_simhash)} | queries_native.QUERIES
+ORACLES: dict[str, str] = {**queries_native.ORACLES}

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
 #: Odd multiplier of the byte polynomial and its inverse modulo 2**64.
@@ -154,3 +155,24 @@ def whole_windows(first: np.ndarray, n_words: int, size: int) -> np.ndarray:
         return np.zeros(0, bool)
     last = np.repeat(first[1:], np.diff(first))[:n]
     return np.arange(n) + size <= last
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 22):
+    """The batch in slices of about ``max_bytes`` of text, one row at least; bounds a task's memory."""
+    sizes = pa.compute.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = total[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(total, before + max_bytes, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def joined_by_space(words: Words) -> Words:
+    """The same words over text in which one space stands between words (leading white space becomes one space)."""
+    space = _IS_SPACE[words.data]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    place = np.cumsum(keep) - 1
+    data = np.where(space, np.uint8(0x20), words.data)[keep]
+    return Words(data, place[words.start], place[words.end - 1] + 1, words.first, words.hash)
