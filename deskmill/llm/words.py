@@ -53,6 +53,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: 1 for the six white-space bytes that separate words.
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The same for every ASCII byte that is no letter or digit.
+_IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: A-Z to a-z, all other bytes unchanged.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -88,12 +90,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, starts
 
 
-def split_words(column: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
-    """Words of each text; null and blank texts have none.  ``lower`` maps A-Z only."""
+def split_words(column: pa.Array, lower: bool = False, hashed: bool = True, marks: bool = False) -> Words:
+    """Words of each text; null and blank texts have none.  ``lower`` maps A-Z only; ``marks``: all ASCII marks part words too."""
     data, starts = text_bytes(column)
     if lower:
         data = _LOWER[data]
-    space = _IS_SPACE[data]
+    space = (_IS_MARK if marks else _IS_SPACE)[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(space) and not space[0]:
         edge = np.concatenate([[0], edge])
