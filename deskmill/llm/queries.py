@@ -17,6 +17,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deskmill.llm.substring_dedup import remove_repeated_passages
+
+    found = remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deskmill.llm.packing import pack_documents
 
@@ -30,5 +37,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_components(fingerprints(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op6_packing, op9_simhash)} | queries_native.QUERIES | queries_matching.QUERIES | queries_models.QUERIES
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_substring_dedup, op6_packing, op9_simhash)} | queries_native.QUERIES | queries_matching.QUERIES | queries_models.QUERIES
 ORACLES: dict[str, str] = {**queries_native.ORACLES}
