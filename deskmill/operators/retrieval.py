@@ -126,11 +126,12 @@ def rrf_fuse(cosine_pool: DataFrame, lexical: DataFrame, rrf_k: int = 60, k: int
     a = cosine_pool.select("query_id", "chunk_id", "score")
     l = lexical.join(live, "query_id", "left_semi").select("query_id", "chunk_id", "bm25", F.col("score").alias("l_score"))  # noqa: E741
     u = a.join(l, ["query_id", "chunk_id"], "full").withColumn("score", F.coalesce("score", "l_score"))
-    by_cosine = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    by_words = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("bm25"), "chunk_id")
+    # Rounded, so that the order of a sum's terms doesn't decide between equal chunks.
+    by_cosine = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    by_words = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round("bm25", 9)), "chunk_id")
     u = u.withColumn("rc", F.row_number().over(by_cosine)).withColumn("rl", F.when(F.col("bm25").isNotNull(), F.row_number().over(by_words)))
     u = u.withColumn("fused", 1 / (rrf_k + F.col("rc")) + F.coalesce(1 / (rrf_k + F.col("rl")), F.lit(0.0)))
-    w = Window.partitionBy("query_id").orderBy(F.desc("fused"), "chunk_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("fused", 12)), "chunk_id")
     return u.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "fused", "rank")
 
 

@@ -187,9 +187,9 @@ def d5_bm25(q, c):
 
 _FUSE = f"""a_ AS (SELECT query_id, chunk_id, score FROM top_ WHERE rank<=100), l_ AS (SELECT b.query_id, b.chunk_id, bm25, {_COS} AS s FROM bm_ b JOIN queries q USING (query_id) JOIN chunks c ON c.id=b.chunk_id WHERE query_id IN (SELECT query_id FROM a_)),
 u_ AS (SELECT query_id, chunk_id, coalesce(a_.score, l_.s) AS score, bm25 FROM a_ FULL JOIN l_ USING (query_id, chunk_id)),
-r_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rc, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC NULLS LAST, chunk_id) AS rl FROM u_),
+r_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, chunk_id) AS rc, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25,9) DESC NULLS LAST, chunk_id) AS rl FROM u_),
 f_ AS (SELECT *, 1/(60+rc)::DOUBLE + CASE WHEN bm25 IS NULL THEN 0 ELSE 1/(60+rl)::DOUBLE END AS fused FROM r_),
-fused_ AS (SELECT query_id, chunk_id, score, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM f_)"""
+fused_ AS (SELECT query_id, chunk_id, score, fused, row_number() OVER (PARTITION BY query_id ORDER BY round(fused,12) DESC, chunk_id) AS rank FROM f_)"""
 _SEARCH = f"+{_TOP}, {_INDEX.replace("{pool}", "100")}, {_BM}, {_FUSE}"
 
 
