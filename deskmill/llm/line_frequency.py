@@ -10,7 +10,7 @@ and the join back to lines is one that Spark splits where a line is frequent.
 
 Cases: a null or blank text has no words and fails the base rules; a null host is a host of its own;
 repeated rows get the same result each and count once; an empty table gives no rows; columns of
-the input keep their names, the added ones are listed in METRICS.
+the input keep their names, but one with the name of an added column (METRICS, text_kept) is replaced.
 """
 
 from __future__ import annotations
@@ -67,11 +67,15 @@ def line_frequency_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     key = ["_id", "_text_hash"]
     d = docs.withColumn("_id", F.col(doc_id)).withColumn("_text_hash", F.xxhash64(F.col(text).cast("string")))
     gone = removed_lines(d, key, host, text, max_documents)
-    gone = gone.withColumnsRenamed({"_id": "_gid", "_text_hash": "_ghash"})
-    d = base_metrics(d, text, min_words, max_repeat_percent)
-    d = d.join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_text_hash") == F.col("_ghash")), "left")
-    d = d.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
-    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= min_kept * F.col("n_words")))
+    # Small rows per text; the aggregate also keeps filters on the verdict from being pushed into the metrics' expressions.
+    base = base_metrics(d.select(*key, F.col(text).alias("_t")), "_t", min_words, max_repeat_percent)
+    base = base.groupBy(*key).agg(*(F.first(c).alias(c) for c in METRICS[:6]))
+    both = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_text_hash") == F.col("_ghash"))
+    verdict = base.join(gone.withColumnsRenamed({"_id": "_gid", "_text_hash": "_ghash"}), both, "left").drop("_gid", "_ghash")
+    verdict = verdict.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    verdict = verdict.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= min_kept * F.col("n_words")))
+    verdict = verdict.withColumnsRenamed({"_id": "_gid", "_text_hash": "_ghash"})
+    d = d.drop(*METRICS, "_positions", "text_kept").join(verdict, both)
     kept = F.array_join(F.filter(F.split(F.col(text).cast("string"), "\n"), lambda x, i: ~F.array_contains("_positions", i)), "\n")
     d = d.withColumn("text_kept", F.when(F.col("_positions").isNull(), F.col(text)).otherwise(kept))
     return d.drop("_id", "_text_hash", "_gid", "_ghash", "_positions")
