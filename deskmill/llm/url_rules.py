@@ -1,6 +1,6 @@
 """URL filters by association rules, with DataFrame functions and Spark's FP-growth.
 
-URLs become sets of tokens (host, its labels and their hyphenated parts, path words, file ending, query keys).  Labelled
+URLs become sets of tokens (host, its labels cut at hyphens, path words, file ending, query keys).  Labelled
 URLs with a bad label carry one more item; Spark FP-growth mines the frequent sets, and those that imply the bad
 item are kept by support, confidence and lift, and when no smaller rule is as confident.  Matching is an
 inverted index: every rule is listed under each of its tokens, a URL's tokens are joined to
@@ -35,19 +35,20 @@ def path_of(url: Column) -> Column:
 def url_tokens(url: Column) -> Column:
     """Distinct tokens of a URL: what may tell good hosts and paths from bad ones; numbers are one token."""
     host, path = host_of(url), path_of(url)
-    labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("label="), x))
     parts = F.transform(F.filter(F.split(host, r"[.-]"), lambda x: x != ""), lambda x: F.concat(F.lit("part="), x))
     words = F.filter(F.split(F.regexp_replace(F.lower(path), "[0-9]+", "0"), "[/._-]+"), lambda x: x != "")
     words = F.transform(words, lambda x: F.concat(F.lit("path="), x))
     query = F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit("[?&]([^=&#]+)="), F.lit(1))
     query = F.transform(query, lambda x: F.concat(F.lit("query="), x))
-    scheme = F.concat(F.lit("scheme="), F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(.*?)://", 1))
-    tokens = F.array_distinct(F.concat(F.array(scheme, F.concat(F.lit("host="), host)), labels, parts, words, query))
+    tokens = F.array_distinct(F.concat(F.array(F.concat(F.lit("host="), host)), parts, words, query))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(tokens)
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 2.0, max_tokens: int = 3) -> DataFrame:
-    """Rules (rule_id, tokens, support, confidence) from ``labelled`` (url, bad boolean)."""
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 2.0, max_tokens: int = 3, min_count: int = 20) -> DataFrame:
+    """Rules (rule_id, tokens, support, confidence) from ``labelled`` (url, bad boolean).
+
+    ``min_count`` rows at least must support a rule: fewer tell nothing, and in a small table every subset of a URL's tokens would be frequent.
+    """
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
@@ -57,7 +58,7 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     if not total["bad"]:
         return empty
     items = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows.select(items.alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / total["n"])), minConfidence=min_confidence).fit(rows.select(items.alias("items")))
     base = total["bad"] / total["n"]
     rules = model.associationRules.where(F.array_contains("consequent", BAD) & ~F.array_contains("antecedent", BAD) & (F.size("antecedent") <= max_tokens) & (F.col("confidence") >= max(min_confidence, min_lift * base)))
     rules = rules.select(F.sort_array("antecedent").alias("tokens"), "support", "confidence")
