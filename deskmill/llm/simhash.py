@@ -14,8 +14,9 @@ verified without listing pairs, by looking up the 136 byte pairs near each.
 ``near_duplicates`` finds documents with a word-shingle similarity (Jaccard) of 0.8 or more, which 64 bits
 can't tell.  Its fingerprint is wide: distinct shingles are dealt to lanes by hash, some four
 to a lane, and each lane gets the eight bytes of its own SimHash.  The guaranteed minimum is one lane, eight
-bytes.  Documents of a posting meet its first document only (a star, never all pairs), and the
-similarity of these pairs is verified over whole texts.
+bytes.  Every pair of a posting is settled: first its members meet the one that shares most (a star, which
+joins the copies of an original at once), then all pairs that are not in one component by then, in
+blocks of members.  The similarity is verified over whole texts; only pairs whose numbers of shingles rule it out are not.
 
 Cases: a null or blank text has no words: fingerprint zero, linked like any other here, and a copy of
 other blank texts there; fewer words than a shingle are one shingle; repeated rows are linked as copies;
@@ -37,6 +38,8 @@ from deskmill.llm.components import connected_components
 from deskmill.llm.words import U64, Words, joined_by_space, mix, pieces, split_words, whole_windows, window_hashes
 
 _CHUNK = 1 << 17
+#: Members of a posting that meet all others in one join key.
+_BLOCK = 256
 
 
 def bit_majority(hashes: np.ndarray, group: np.ndarray, n_groups: int) -> np.ndarray:
@@ -198,30 +201,58 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                hashes, positions, prints = [], [], []
+                hashes, positions, prints, sizes = [], [], [], []
                 for text_hash, found in zip(part["text_hash"].to_pylist(), shingle_sets(split_words(part["text"], lower=True), shingle), strict=True):
                     for position, value in lane_prints(found):
                         hashes.append(text_hash)
                         positions.append(position)
                         prints.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(positions, pa.int32()), pa.array(prints, pa.int64())], ["text_hash", "position", "bytes"])
+                        sizes.append(len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(positions, pa.int32()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32())], ["text_hash", "position", "bytes", "n"])
 
-    postings = rows.select("text_hash", "text").mapInArrow(post, "text_hash long, position int, bytes long")
+    postings = rows.select("text_hash", "text").mapInArrow(post, "text_hash long, position int, bytes long, n int")
     postings = checkpoint(postings)
-    heads = postings.groupBy("position", "bytes").agg(F.min("text_hash").alias("head"), F.max("text_hash").alias("tail")).where("head <> tail").select("position", "bytes", "head")
-    pairs = checkpoint(postings.join(heads, ["position", "bytes"]).where("text_hash <> head").select("text_hash", "head").distinct())
-    wanted = pairs.select("text_hash").union(pairs.select("head")).distinct()
-    found = checkpoint(rows.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text")))
+    shared = postings.groupBy("position", "bytes").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).where("first <> last").select("position", "bytes")
+    postings = checkpoint(postings.join(shared, ["position", "bytes"], "left_semi").distinct())
+    sizes = postings.groupBy("position", "bytes").agg(F.count("*").alias("members"))
+    postings = checkpoint(postings.join(sizes, ["position", "bytes"]))
+    weights = postings.groupBy("text_hash").agg(F.sum("members").alias("weight"))
+    heads = postings.join(weights, "text_hash").groupBy("position", "bytes").agg(F.max(F.struct("weight", "text_hash", "n")).alias("head"))
+    heads = heads.select("position", "bytes", F.col("head.text_hash").alias("head"), F.col("head.n").alias("head_n"))
+    near = F.least("n", "head_n") >= similarity * F.greatest("n", "head_n") - 1e-6
+    pair = F.least("text_hash", "head").alias("text_hash"), F.greatest("text_hash", "head").alias("head")
+    star = checkpoint(postings.join(heads, ["position", "bytes"]).where("text_hash <> head").where(near).select(*pair).distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                one, other = (shingle_sets(split_words(part[c], lower=True), shingle) for c in ("text", "head_text"))
-                keep = [i for i, (x, y) in enumerate(zip(one, other, strict=True)) if similar(x, y) >= similarity]
+                # A text of many pairs is cut once.
+                found: dict[int, np.ndarray] = {}
+                for key, column in (("text_hash", "text"), ("head", "head_text")):
+                    keys, first = np.unique(part[key].to_numpy(), return_index=True)
+                    new = np.array([k not in found for k in keys.tolist()], bool)
+                    found.update(zip(keys[new].tolist(), shingle_sets(split_words(part[column].take(pa.array(first[new])), lower=True), shingle), strict=True))
+                ends = zip(part["text_hash"].to_pylist(), part["head"].to_pylist(), strict=True)
+                keep = [i for i, (x, y) in enumerate(ends) if similar(found[x], found[y]) >= similarity]
                 yield part.select(["text_hash", "head"]).take(pa.array(keep, pa.int64())).rename_columns(["a", "b"])
 
-    pairs = pairs.join(found, "text_hash").join(found.select(F.col("text_hash").alias("head"), F.col("text").alias("head_text")), "head")
-    reached = connected_components(pairs.select("text_hash", "head", "text", "head_text").mapInArrow(verify, "a long, b long"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("text_hash").union(pairs.select("head")).distinct()
+        found = checkpoint(rows.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text")))
+        pairs = pairs.join(found, "text_hash").join(found.select(F.col("text_hash").alias("head"), F.col("text").alias("head_text")), "head")
+        return checkpoint(pairs.select("text_hash", "head", "text", "head_text").mapInArrow(verify, "a long, b long"))
+
+    edges = verified(star)
+    # All other pairs of a posting that are not in one component: a block of its members against each member.
+    members = postings.join(connected_components(edges), F.col("text_hash") == F.col("node"), "left").select("position", "bytes", "text_hash", "n", "members", F.coalesce("label", "text_hash").alias("label"))
+    several = members.groupBy("position", "bytes").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("position", "bytes")
+    members = checkpoint(members.join(several, ["position", "bytes"], "left_semi"))
+    blocks = F.ceil(F.col("members") / _BLOCK).cast("int")
+    left = members.withColumn("block", F.pmod(F.xxhash64("text_hash"), blocks).cast("int")).drop("members")
+    right = members.select("position", "bytes", F.col("text_hash").alias("head"), F.col("n").alias("head_n"), F.col("label").alias("head_label"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    others = left.join(right, ["position", "bytes", "block"]).where("text_hash < head AND label <> head_label").where(near).select("text_hash", "head").distinct()
+    others = checkpoint(others.join(star, ["text_hash", "head"], "left_anti"))
+    reached = connected_components(edges.unionByName(verified(others)))
     labelled = texts.join(reached, F.col("text_hash") == F.col("node"), "left").select("text_hash", "first_id", F.coalesce("label", "text_hash").alias("component"))
     return labelled
 

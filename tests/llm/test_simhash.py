@@ -5,7 +5,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from deskmill.llm.simhash import fingerprints, hamming_components, keep_first_of_group, posting_edges
+from deskmill.llm.simhash import fingerprints, hamming_components, keep_first_of_group, near_duplicates, posting_edges
 from deskmill.llm.words import split_words, window_hashes, whole_windows
 
 
@@ -107,3 +107,44 @@ def test_one_of_each_group_stays(spark):
     got = sorted(r.doc_id for r in kept.collect())
     assert got == sorted([m[0] for m in groups] + [1000])
     assert keep_first_of_group(df.limit(0)).count() == 0
+
+
+def test_near_copies_that_differ_from_each_other(spark):
+    rng = random.Random(21)
+    texts, shingles = [], []
+
+    def add(words):
+        texts.append(" ".join(words))
+        shingles.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(10, len(words) - 10, 10), n):
+            words[at] = f"e{rng.randrange(10**9)}"
+        return words
+
+    # 120 copies of an original; 40 without it; and a row of copies of copies.
+    for copies, with_original in ((120, True), (40, False)):
+        original = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+        if with_original:
+            add(original)
+        for _ in range(copies):
+            add(edited(original, 5))
+    words = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    for _ in range(40):
+        add(words)
+        words = edited(words, 5)
+    label = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    assert sum(120 >= i > 0 and 120 >= j > 0 for i, j in pairs) < 120 * 119 / 2 / 10  # most copies of the first original are below 0.8 to each other
+    for _ in texts:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {}
+    for r in near_duplicates(df).collect():
+        groups.setdefault(r.component, set()).add(r.first_id)
+    want = {}
+    for i, x in enumerate(label):
+        want.setdefault(x, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
