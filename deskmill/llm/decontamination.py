@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits.  The n-grams of the test items are counted in
-the whole corpus; of every item the rarer half (by rank within the item, so an item that leaked
-everywhere keeps its seeds) are seeds.  A seed in a passage makes it a candidate for the item, and
-the item is aligned to the passage around it; the score is that of the best local alignment over
-that of a perfect copy.
+Words are lower-cased runs of letters and digits.  Every n-gram of a test item is a seed: counts in the
+corpus would not tell which ones an edited copy keeps.  A seed in a passage makes it a candidate for the
+item; where the passage holds enough of the item's words for ``min_score``, the item is aligned to
+it; the score is that of the best local alignment over that of a perfect copy.  A copy without
+any n words in a row of the item has no seed and is not found.
 
-The corpus is read where it lies, twice, and never shuffled; what moves are counts of the items'
-n-grams, added up before the shuffle.  Items come to the driver and to the tasks in blocks of at most
-``block_mb`` of text, each a pass over the corpus, so any number of items works.
+The corpus is read where it lies, once for each block of items, and never shuffled.  Items come to the driver
+and to the tasks in blocks of at most ``block_mb`` of text, so any number of items works.
 
 Cases: null or blank texts match nothing; items of fewer words than a seed use all their words as one
 seed; repeated items and documents each give their own rows; null ids are kept; empty tables give no rows.
@@ -52,36 +51,18 @@ def _leaks_of(docs: DataFrame, items: list, n: int, min_score: float) -> DataFra
     words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
     grams = [_grams(x, n) for x in words]
     sizes = sorted({min(n, len(x)) for x in words if len(x)})
-    every = np.unique(np.concatenate([np.empty(0, U64), *grams]))
-    shared = spark.sparkContext.broadcast((every, sizes))
-
     def windows(part: pa.RecordBatch, sizes: list[int]):
         t = split_words(part["text"], lower=True, marks=True)
         for size in sizes:
             h = window_hashes(t.hash, size)
             yield t, h, whole_windows(t.first, len(t.start), size)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, sizes = shared.value
-        total = np.zeros(len(every), np.int64)
-        for batch in batches:
-            for part in pieces(batch):
-                for _, h, ok in windows(part, sizes):
-                    place, gram = seed_hits(h, every)
-                    total += np.bincount(gram[ok[place]], minlength=len(every))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(every[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-    # At most one row per n-gram of the block.
-    counts = {r["gram"]: r["n"] for r in docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    often = np.array([counts.get(int(g), 0) for g in every.view(np.int64)], np.int64)
     seeds, owner, offset = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i, g in enumerate(grams):
         if len(g):
-            rank = np.argsort(often[np.searchsorted(every, g)], kind="stable")[: len(g) - len(g) // 2]
-            seeds.append(g[rank])
-            owner.append(np.full(len(rank), i))
-            offset.append(rank)
+            seeds.append(g)
+            owner.append(np.full(len(g), i))
+            offset.append(np.arange(len(g)))
     seeds, owner, offset = (np.concatenate(x) for x in (seeds, owner, offset))
     order = np.argsort(seeds, kind="stable")
     ids = [r["item_id"] for r in items]
@@ -90,6 +71,14 @@ def _leaks_of(docs: DataFrame, items: list, n: int, min_score: float) -> DataFra
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, owner, offset, words, ids, sizes = index.value
         lengths = np.array([len(x) for x in words], np.int64)
+        known = [np.unique(x, return_counts=True) for x in words]
+
+        def enough(item: int, passage: np.ndarray) -> bool:
+            """Whether the passage holds as many of the item's words, repeats counted, as a good score needs."""
+            values, most = known[item]
+            place, k = seed_hits(passage, values)
+            return np.minimum(np.bincount(k, minlength=len(values)), most).sum() >= min_score * lengths[item]
+
         for batch in batches:
             for part in pieces(batch):
                 doc_ids, keys = part["doc_id"].to_pylist(), [np.empty((0, 3), np.int64)]
@@ -108,6 +97,10 @@ def _leaks_of(docs: DataFrame, items: list, n: int, min_score: float) -> DataFra
                     some = keys[at : at + 256]
                     low = np.maximum(t.first[some[:, 0]], t.first[some[:, 0]] + (2 * some[:, 2] - 1) * lengths[some[:, 1]] // 2)
                     high = np.minimum(t.first[some[:, 0] + 1], t.first[some[:, 0]] + (2 * some[:, 2] + 5) * lengths[some[:, 1]] // 2)
+                    hold = np.array([enough(i, t.hash[x:y]) for i, x, y in zip(some[:, 1].tolist(), low.tolist(), high.tolist(), strict=True)], bool)
+                    some, low, high = some[hold], low[hold], high[hold]
+                    if not len(some):
+                        continue
                     a, b = [words[i] for i in some[:, 1]], [t.hash[x:y] for x, y in zip(low, high, strict=True)]
                     score, end_a, end_b = smith_waterman(padded(a, PAD_A), padded(b, PAD_B), _MATCH)
                     good = np.flatnonzero(score >= min_score * _MATCH * lengths[some[:, 1]])

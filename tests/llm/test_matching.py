@@ -79,6 +79,27 @@ def test_leaks_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in find_leaks(df, bench, block_mb=1e-3 + 1).collect()} == got
 
 
+def test_leaks_of_edited_copies(spark):
+    rng = random.Random(13)
+    items, docs, want = [], [], set()
+    for i, n in enumerate([15, 24, 38, 59] * 6):
+        item = [f"q{rng.randrange(10**6)}" for _ in range(n)]
+        items.append((i, " ".join(item)))
+        for d, edits in enumerate((n // 6, n // 4, n // 3)):
+            copy = list(item)
+            evenly = [round((k + 0.5) * n / edits) for k in range(edits)]
+            for at in evenly if d < 2 else rng.sample(range(n), edits):
+                copy[at] = "edited"
+            text = [*prose(rng, 60), *copy, *prose(rng, 60)]
+            docs.append((len(docs), " ".join(text)))
+            seeds = any(copy[k : k + 3] == item[k : k + 3] for k in range(n - 2))
+            if seeds and brute_sw(item, text) >= 0.5 * 2 * n:
+                want.add((docs[-1][0], i))
+    assert len(want) > 60
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(df, bench).collect()} == want
+
+
 def test_licenses(spark):
     rng = random.Random(2)
     docs, want = [], set()
