@@ -44,11 +44,8 @@ def url_tokens(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(tokens)
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 2.0, max_tokens: int = 3, min_count: int = 20) -> DataFrame:
-    """Rules (rule_id, tokens, support, confidence) from ``labelled`` (url, bad boolean).
-
-    ``min_count`` rows at least must support a rule: fewer tell nothing, and in a small table every subset of a URL's tokens would be frequent.
-    """
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 2.0, max_tokens: int = 3) -> DataFrame:
+    """Rules (rule_id, tokens, support, confidence) from ``labelled`` (url, bad boolean); ``min_support`` holds at every size."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
@@ -58,7 +55,7 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     if not total["bad"]:
         return empty
     items = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / total["n"])), minConfidence=min_confidence).fit(rows.select(items.alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows.select(items.alias("items")))
     base = total["bad"] / total["n"]
     rules = model.associationRules.where(F.array_contains("consequent", BAD) & ~F.array_contains("antecedent", BAD) & (F.size("antecedent") <= max_tokens) & (F.col("confidence") >= max(min_confidence, min_lift * base)))
     rules = rules.select(F.sort_array("antecedent").alias("tokens"), "support", "confidence")

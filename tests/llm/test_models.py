@@ -73,3 +73,10 @@ def test_mined_rules(spark):
     hit = {r.page_id for r in match_rules(pages, rules, "page_id").collect()}
     by_hand = {1, 4}
     assert hit == by_hand
+
+
+def test_support_is_the_same_at_every_size(spark):
+    rows = [(f"http://site{i % 7}.example.org/en/{i}", False) for i in range(590)] + [(f"http://rare-casino.net/win/{i}", True) for i in range(10)]
+    rules = mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert "host=rare-casino.net" in {t for r in rules for t in r.tokens}
+    assert all(r.support >= 0.002 and r.confidence == 1.0 for r in rules)
