@@ -10,7 +10,8 @@ No row is shuffled: partitions pack on their own and a sequence id names partiti
 so the work is linear and a lost task is repeated with the same result.
 
 Cases: a null or empty text is one end id; null doc_ids are kept; repeated rows are documents of
-their own; an empty table gives no rows; other columns are ignored.
+their own; a very long text is cut into as many windows as it fills; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.llm.tokens import VOCAB, encoder
+from deskmill.llm.words import pieces
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -89,10 +91,9 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, vocab: str = VOCAB, en
     """Pieces of ``docs`` (doc_id, text) with their sequence and place; see the module's notes."""
     if capacity < 1 or capacity & capacity - 1:
         raise ValueError("capacity must be a power of two")
-    end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = encoder(vocab).encode
+        tokens = encoder(vocab)
         packer, sequence, rows, held = SumOfSquares(capacity), TaskContext.get().partitionId() << 32, [], 0
 
         def emit(window: list[tuple]) -> None:
@@ -111,14 +112,15 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, vocab: str = VOCAB, en
             held = 0
             return out
 
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = encode_text(text.as_py()) + end
-                n = len(ids) // 4
+        for part in (p for batch in batches for p in pieces(batch)):
+            found, counts = tokens.encode_ended(part["text"], end_id)
+            data, end = found.astype("<u4").tobytes(), 0
+            for doc_id, n in zip(part["doc_id"].to_pylist(), counts.tolist(), strict=True):
+                begin, end = end, end + 4 * n
                 whole = n - n % capacity
                 for at in range(0, whole, capacity):
-                    emit([(doc_id, capacity, at, ids[4 * at : 4 * (at + capacity)], n)])
-                if whole < n and (window := packer.place((doc_id, n - whole, whole, ids[4 * whole :], n))):
+                    emit([(doc_id, capacity, at, data[begin + 4 * at : begin + 4 * (at + capacity)], n)])
+                if whole < n and (window := packer.place((doc_id, n - whole, whole, data[begin + 4 * whole : end], n))):
                     emit(window)
                 if held > 1 << 20:
                     yield batch_of()

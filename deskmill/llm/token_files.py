@@ -11,8 +11,8 @@ block_offsets    word offset of each block of 1024 ids
 words            Simple-8b words, little-endian (see simple8b.py)
 
 Cases: a null or empty text has only the end id; null doc_ids come first; rows with the same
-doc_id are separate documents next to each other, ordered by text; an empty table gives no rows;
-other columns are ignored.
+doc_id are separate documents next to each other, ordered by a hash of their text, and equal rows in any
+order; a very long text is one record; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,42 +26,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deskmill.llm import simple8b
+from deskmill.llm.common import text_mb
 from deskmill.llm.tokens import VOCAB, encoder
+from deskmill.llm.words import pieces
 
 FILE_SCHEMA = "shard int, start long, n_ids long, doc_ids array<long>, sizes array<int>, block_offsets array<int>, words binary"
 _ARROW = pa.schema([("shard", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("block_offsets", pa.list_(pa.int32())), ("words", pa.binary())])
 
 
-def write_token_files(docs: DataFrame, path: str, vocab: str = VOCAB, end_id: int = 0, record_ids: int = 1 << 18) -> None:
-    """Encode ``docs`` (doc_id, text) and write the files under ``path``."""
-    end = np.array([end_id], "<u4").tobytes()
+def write_token_files(docs: DataFrame, path: str, vocab: str = VOCAB, end_id: int = 0, record_ids: int = 1 << 18, file_mb: float = 64) -> None:
+    """Encode ``docs`` (doc_id, text) and write the files under ``path``, each of about ``file_mb`` of text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encode_text = TaskContext.get().partitionId(), encoder(vocab).encode
+        shard, tokens = TaskContext.get().partitionId(), encoder(vocab)
         start, held, doc_ids, sizes = 0, [], [], []
 
         def record() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4").astype(np.uint64)
+            ids = np.concatenate(held).astype(np.uint64)
             words, offsets = simple8b.encode(ids)
             row = [[shard], [start], [len(ids)], [doc_ids], [sizes], [offsets.tolist()], [words.astype("<u8").tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
         n = 0
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = encode_text(text.as_py()) + end
-                if held and n + len(ids) // 4 > record_ids:
+        for part in (p for batch in batches for p in pieces(batch)):
+            ids, counts = tokens.encode_ended(part["text"], end_id)
+            end = np.cumsum(counts)
+            for doc_id, size, b in zip(part["doc_id"].to_pylist(), counts.tolist(), end.tolist(), strict=True):
+                if held and n + size > record_ids:
                     yield record()
                     start, n, held, doc_ids, sizes = start + n, 0, [], [], []
-                held.append(ids)
+                held.append(ids[b - size : b])
                 doc_ids.append(doc_id)
-                sizes.append(len(ids) // 4)
-                n += len(ids) // 4
+                sizes.append(size)
+                n += size
         if held:
             yield record()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The last key parts rows that are equal in all, so that no number of them is one task's.
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("spread")]
+    rows = rows.repartitionByRange(int(text_mb(docs) / file_mb) + 1, *order).sortWithinPartitions(*order)
     rows.mapInArrow(encode, FILE_SCHEMA).write.parquet(path)
 
 

@@ -1,6 +1,7 @@
-import zlib
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -15,21 +16,37 @@ TEXTS = [None, "", " ", "\n", "a", "  a  b \n c\n\nd", "x\ty", " lead trail ", "
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(vocab_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocab_path())
 
 
 def ids_of(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
-def test_cached_encoding_equals_the_tokenizer(tokenizer):
+def check(encoder, tokenizer, texts):
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    assert np.split(ids, np.cumsum(counts))[-1].size == 0
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == ids_of(tokenizer, text)[:-1], text
+
+
+def test_encoding_equals_the_tokenizer(tokenizer):
     for room in (4, 100_000):
         e = Encoder(cache_pieces=room)
         for _ in range(2):
-            for text in TEXTS:
-                assert np.frombuffer(e.encode(text), "<u4").tolist() == ids_of(tokenizer, text)[:-1]
+            check(e, tokenizer, TEXTS)
+    assert e.encode(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_encoding_equals_the_tokenizer_on_random_texts(tokenizer):
+    parts = ["a", "Bc", "é", "×", "'", "'s", "'ll", " ", "  ", "\n", "\n\n", " \n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "1", "²", "$$", "...", "ß", "中文", "\u0301", "<|endoftext|>", "_", "\0", "«", "😀", "\ufeff", "\u180e", "Ж"]
+    pick = random.Random(3)
+    check(Encoder(), tokenizer, ["".join(pick.choices(parts, k=pick.randint(0, 12))) for _ in range(5000)])
+
+
+def test_other_kinds_of_vocabulary(tokenizer):
+    path = vocab_path("word_bpe_49k.json")
+    check(Encoder(path), Tokenizer.from_file(path), TEXTS)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -53,13 +70,13 @@ def test_token_files(spark, tokenizer):
     path = shared_folder(spark, "t")
     write_token_files(df.repartition(3), path, record_ids=50)
     got = [tuple(r) for r in read_token_files(spark, path).orderBy("start").collect()]
-    want = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want = sorted(((d, ids_of(tokenizer, t)) for d, t, _ in data), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     at = 0
-    for (doc_id, start, n, ids), (want_id, text, _) in zip(got, want, strict=True):
-        expected = ids_of(tokenizer, text)
-        assert (doc_id, start, n) == (want_id, at, len(expected))
-        assert np.frombuffer(ids, "<u4").tolist() == expected
+    for doc_id, start, n, ids in got:
+        assert (start, 4 * n) == (at, len(ids))
         at += n
+    assert [r[0] for r in got] == [w[0] for w in want]
+    assert sorted((r[0] is not None, r[0] or 0, np.frombuffer(r[3], "<u4").tolist()) for r in got) == [(d is not None, d or 0, x) for d, x in want]
     write_token_files(df.limit(0), path + "0")
     assert read_token_files(spark, path + "0").count() == 0
 
