@@ -112,7 +112,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, vocab: str = VOCAB, en
             held = 0
             return out
 
-        for part in (p for batch in batches for p in pieces(batch)):
+        for part in (p for batch in batches for p in pieces(batch, max_bytes=1 << 21)):
             found, counts = tokens.encode_ended(part["text"], end_id)
             data, end = found.astype("<u4").tobytes(), 0
             for doc_id, n in zip(part["doc_id"].to_pylist(), counts.tolist(), strict=True):

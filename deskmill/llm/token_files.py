@@ -34,7 +34,7 @@ FILE_SCHEMA = "shard int, start long, n_ids long, doc_ids array<long>, sizes arr
 _ARROW = pa.schema([("shard", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("block_offsets", pa.list_(pa.int32())), ("words", pa.binary())])
 
 
-def write_token_files(docs: DataFrame, path: str, vocab: str = VOCAB, end_id: int = 0, record_ids: int = 1 << 18, file_mb: float = 64) -> None:
+def write_token_files(docs: DataFrame, path: str, vocab: str = VOCAB, end_id: int = 0, record_ids: int = 1 << 18, file_mb: float = 16) -> None:
     """Encode ``docs`` (doc_id, text) and write the files under ``path``, each of about ``file_mb`` of text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,7 @@ def write_token_files(docs: DataFrame, path: str, vocab: str = VOCAB, end_id: in
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
         n = 0
-        for part in (p for batch in batches for p in pieces(batch)):
+        for part in (p for batch in batches for p in pieces(batch, max_bytes=1 << 21)):
             ids, counts = tokens.encode_ended(part["text"], end_id)
             end = np.cumsum(counts)
             for doc_id, size, b in zip(part["doc_id"].to_pylist(), counts.tolist(), end.tolist(), strict=True):
@@ -70,17 +70,23 @@ def write_token_files(docs: DataFrame, path: str, vocab: str = VOCAB, end_id: in
     rows.mapInArrow(encode, FILE_SCHEMA).write.parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit)."""
+def read_token_files(spark: SparkSession, path: str, broadcast_files: int = 1_000_000) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit).
+
+    The starts of the files, two numbers each, are broadcast when there are at most ``broadcast_files`` of them.
+    """
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     # One row per file: the only thing that is ordered as a whole.
     totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
+    if totals.count() <= broadcast_files:
+        starts = F.broadcast(starts)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 words = np.frombuffer(row["words"], "<u8")
                 ids = simple8b.decode(words, np.array(row["block_offsets"], np.int64), row["n_ids"]).astype("<u4")
                 sizes = np.array(row["sizes"], np.int64)

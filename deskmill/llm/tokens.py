@@ -87,7 +87,7 @@ def cut_places(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Encoder:
     """``encode(column)`` gives the ids of all texts and how many each has."""
 
-    def __init__(self, vocab: str = VOCAB, cache_pieces: int = 800_000):
+    def __init__(self, vocab: str = VOCAB, cache_pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -102,9 +102,19 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
+        """Make room: what was met in several batches stays, if that leaves half of the cache free."""
+        old = getattr(self, "_cache", {})
+        kept = [p for p, i in old.items() if self._met[i] > 2]
+        if 2 * len(kept) > self._room:
+            kept = []
+        places = [old[p] for p in kept]
+        ids = [self._flat[self._start[i] : self._start[i] + self._size[i]] for i in places]
         self._cache: dict[bytes, int] = {}
-        self._flat, self._start, self._size = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._flat = np.empty(1 << 16, np.uint32)
+        self._start, self._size, self._met = (np.zeros(1 << 16, np.int32) for _ in range(3))
         self._used = 0
+        if kept:
+            self._store(kept, np.array([len(x) for x in ids]), np.concatenate(ids))
 
     def _one_pre_token(self, piece: bytes) -> bool:
         body = piece[1:] if piece[:1] == b" " else piece
@@ -129,17 +139,20 @@ class Encoder:
             found = self._tokenizer.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False)
             for i, x in zip(rest, found, strict=True):
                 ids[i] = x.ids
-        known, size = len(self._cache), np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        while len(self._start) < known + len(ids):
-            self._start, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._size))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._store(pieces, size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
+
+    def _store(self, pieces: list[bytes], size: np.ndarray, flat: np.ndarray) -> None:
+        known = len(self._cache)
+        while len(self._start) < known + len(pieces):
+            self._start, self._size, self._met = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._size, self._met))
         while len(self._flat) < self._used + len(flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
         self._flat[self._used : self._used + len(flat)] = flat
-        self._size[known : known + len(ids)] = size
-        self._start[known : known + len(ids)] = self._used + np.cumsum(size) - size
+        self._size[known : known + len(pieces)] = size
+        self._start[known : known + len(pieces)] = self._used + np.cumsum(size) - size
         self._used += len(flat)
-        self._cache.update(zip(pieces, range(known, known + len(ids)), strict=True))
+        self._cache.update(zip(pieces, range(known, known + len(pieces)), strict=True))
 
     def _encode_pieces(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(column)
@@ -156,9 +169,11 @@ class Encoder:
             self._forget()
         if new := [p for p in distinct if p not in self._cache]:
             self._learn(new)
-        entry = np.fromiter(map(self._cache.__getitem__, distinct), np.int64, len(distinct))[found.indices.to_numpy()]
+        entry = np.fromiter(map(self._cache.__getitem__, distinct), np.int32, len(distinct))
+        self._met[entry] += 1
+        entry = entry[found.indices.to_numpy()]
         size = self._size[entry]
-        before = np.concatenate([[0], np.cumsum(size)])
+        before = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         ids = self._flat[np.repeat(self._start[entry] - before[:-1], size) + np.arange(before[-1])]
         return ids, np.diff(before[np.searchsorted(places, bounds)])
 
@@ -187,7 +202,7 @@ class Encoder:
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(vocab: str = VOCAB, cache_pieces: int = 800_000) -> Encoder:
+def encoder(vocab: str = VOCAB, cache_pieces: int = 400_000) -> Encoder:
     """The Python worker's encoder; made once per process."""
     if (vocab, cache_pieces) not in _ENCODERS:
         _ENCODERS[vocab, cache_pieces] = Encoder(vocab, cache_pieces)
