@@ -40,3 +40,11 @@ def text_mb(docs: DataFrame, column: str = "text") -> float:
     """Size of a text column in MB, by one pruned scan."""
     row = docs.select(F.sum(F.octet_length(F.col(column).cast("string"))).alias("n")).first()
     return (row["n"] or 0) / 1e6
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it, so that it clashes with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

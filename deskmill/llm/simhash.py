@@ -13,14 +13,15 @@ verified without listing pairs, by looking up the 136 byte pairs near each.
 
 ``near_duplicates`` finds documents with a word-shingle similarity (Jaccard) of 0.8 or more, which 64 bits
 can't tell.  Its fingerprint is wide: distinct shingles are dealt to lanes by hash, some four
-to a lane, and each lane gets the eight bytes of its own SimHash.  The guaranteed minimum is one lane, eight
-bytes.  Every pair of a posting is settled: first its members meet the one that shares most (a star, which
-joins the copies of an original at once), then all pairs that are not in one component by then, in
-blocks of members.  The similarity is verified over whole texts; only pairs whose numbers of shingles rule it out are not.
+to a lane, and each lane gets the eight bytes of its own SimHash.  Lanes in common are postings in common.
+First the members of a posting meet the one that shares most (a star, which joins the copies of an original at
+once); then the pairs of the postings of wide lanes that are not in one component by then meet.  The similarity of
+both kinds is verified over whole texts, which are sent once to a bucket of many pairs, not once for each pair.
 
 Cases: a null or blank text has no words: fingerprint zero, linked like any other here, and a copy of
-other blank texts there; fewer words than a shingle are one shingle; repeated rows are linked as copies;
-null doc_ids take part, and a component of nulls only has a null id; an empty table gives no rows.
+other blank texts there; fewer words than a shingle are one shingle; a very long text is worked as one
+slice of its own; repeated rows are linked as copies; null doc_ids take part, and a component of nulls only
+has a null id; an empty table gives no rows; other columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,13 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskmill.llm.common import checkpoint
+from deskmill.llm.common import checkpoint, free_name
 from deskmill.llm.components import connected_components
 from deskmill.llm.words import U64, Words, joined_by_space, mix, pieces, split_words, whole_windows, window_hashes
 
 _CHUNK = 1 << 17
 #: Members of a posting that meet all others in one join key.
 _BLOCK = 256
+#: Lanes of as many shingles of a text or more bring together the pairs that the star leaves; they hold fewer unlike pairs than small lanes.
+_WIDE_LANE = 3.2
+#: Text that a bucket of pairs is to hold.
+_BUCKET_BYTES = 1 << 24
 
 
 def bit_majority(hashes: np.ndarray, group: np.ndarray, n_groups: int) -> np.ndarray:
@@ -121,10 +126,11 @@ def hamming_components(prints: DataFrame, max_bits: int = 2) -> DataFrame:
         return x - (1 << 64) if x >> 63 else x
 
     prints = checkpoint(prints)
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
+    distinct = checkpoint(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
     fixed = [signed((1 << 64) - 1 & ~(0xFF << 8 * a) & ~(0xFF << 8 * b)) for a, b in choices]
     keys = F.array(*(F.struct(F.lit(c).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("bytes")) for c, m in enumerate(fixed)))
-    postings = distinct.select("fingerprint", F.explode(keys).alias("key")).select("key.choice", "key.bytes", "fingerprint")
+    spread = distinct.repartition(1 + distinct.count() // 20_000, "fingerprint")  # 28 rows come of each
+    postings = spread.select("fingerprint", F.explode(keys).alias("key")).select("key.choice", "key.bytes", "fingerprint")
     postings = postings.groupBy("choice", "bytes").agg(F.collect_list("fingerprint").alias("members")).where(F.size("members") > 1)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +206,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            _, first = np.unique(batch["text_hash"].to_numpy(), return_index=True)  # copies in one batch are worked once
+            for part in pieces(batch.take(pa.array(np.sort(first)))):
                 hashes, positions, prints, sizes = [], [], [], []
                 for text_hash, found in zip(part["text_hash"].to_pylist(), shingle_sets(split_words(part["text"], lower=True), shingle), strict=True):
                     for position, value in lane_prints(found):
@@ -217,34 +224,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     sizes = postings.groupBy("position", "bytes").agg(F.count("*").alias("members"))
     postings = checkpoint(postings.join(sizes, ["position", "bytes"]))
     weights = postings.groupBy("text_hash").agg(F.sum("members").alias("weight"))
-    heads = postings.join(weights, "text_hash").groupBy("position", "bytes").agg(F.max(F.struct("weight", "text_hash", "n")).alias("head"))
-    heads = heads.select("position", "bytes", F.col("head.text_hash").alias("head"), F.col("head.n").alias("head_n"))
+    heads = checkpoint(postings.join(weights, "text_hash").groupBy("position", "bytes").agg(F.max(F.struct("weight", "text_hash", "n")).alias("head")))
+    heads = heads.select("position", "bytes", F.col("head.weight").alias("weight"), F.col("head.text_hash").alias("head"), F.col("head.n").alias("head_n"))
     near = F.least("n", "head_n") >= similarity * F.greatest("n", "head_n") - 1e-6
     pair = F.least("text_hash", "head").alias("text_hash"), F.greatest("text_hash", "head").alias("head")
-    star = checkpoint(postings.join(heads, ["position", "bytes"]).where("text_hash <> head").where(near).select(*pair).distinct())
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    met = checkpoint(postings.join(heads, ["position", "bytes"]))
+    star = checkpoint(met.where("text_hash <> head").where(near).select(*pair).distinct())
+    # Texts of one family mostly share their most frequent head: blocks of them are verified against each other.
+    family = met.groupBy("text_hash").agg(F.max(F.struct("weight", "head")).alias("f"), F.max("n").alias("n")).select("text_hash", "n", F.col("f.head").alias("family"))
+    family = checkpoint(family.join(family.groupBy("family").agg(F.count("*").alias("k")), "family"))
+    block = F.xxhash64("family", F.pmod(F.xxhash64("text_hash"), F.ceil(F.col("k") / _BLOCK))).alias("block")
+    family = family.select("text_hash", "n", block)
+
+    def verify(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict[int, np.ndarray] = {}
+        for batch in left.combine_chunks().to_batches():
             for part in pieces(batch):
-                # A text of many pairs is cut once.
-                found: dict[int, np.ndarray] = {}
-                for key, column in (("text_hash", "text"), ("head", "head_text")):
-                    keys, first = np.unique(part[key].to_numpy(), return_index=True)
-                    new = np.array([k not in found for k in keys.tolist()], bool)
-                    found.update(zip(keys[new].tolist(), shingle_sets(split_words(part[column].take(pa.array(first[new])), lower=True), shingle), strict=True))
-                ends = zip(part["text_hash"].to_pylist(), part["head"].to_pylist(), strict=True)
-                keep = [i for i, (x, y) in enumerate(ends) if similar(found[x], found[y]) >= similarity]
-                yield part.select(["text_hash", "head"]).take(pa.array(keep, pa.int64())).rename_columns(["a", "b"])
+                found.update(zip(part["text_hash"].to_pylist(), shingle_sets(split_words(part["text"], lower=True), shingle), strict=True))
+        ends = zip(right["a"].to_pylist(), right["b"].to_pylist(), strict=True)
+        keep = [i for i, (x, y) in enumerate(ends) if similar(found[x], found[y]) >= similarity]
+        return right.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("text_hash").union(pairs.select("head")).distinct()
-        found = checkpoint(rows.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text")))
-        pairs = pairs.join(found, "text_hash").join(found.select(F.col("text_hash").alias("head"), F.col("text").alias("head_text")), "head")
-        return checkpoint(pairs.select("text_hash", "head", "text", "head_text").mapInArrow(verify, "a long, b long"))
+        """Pairs that are similar: both texts of a pair meet in a bucket of pairs of the same blocks."""
+        blocks = pairs.join(family, "text_hash").join(family.select(F.col("text_hash").alias("head"), F.col("n").alias("head_n"), F.col("block").alias("head_block")), "head")
+        blocks = checkpoint(blocks.select("text_hash", "head", "n", "head_n", F.xxhash64(F.least("block", "head_block"), F.greatest("block", "head_block")).alias("key")))
+        needed = blocks.select("key", "text_hash", "n").union(blocks.select("key", "head", "head_n")).distinct()
+        size = needed.agg(F.sum(F.col("n") + shingle)).first()[0] or 0
+        bucket = F.pmod("key", F.lit(1 + 8 * size // _BUCKET_BYTES)).alias("bucket")
+        needed = needed.select("text_hash", bucket).distinct()
+        # Copies of a text are many rows: salted, so that they are cut down to one in several tasks.
+        wanted = needed.select("text_hash").distinct().select("text_hash", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
+        found = checkpoint(salted.join(wanted, ["text_hash", "salt"], "left_semi").groupBy("text_hash").agg(F.first("text").alias("text")))
+        sent = needed.join(found, "text_hash").select("bucket", "text_hash", "text")
+        cut = blocks.select(F.col("text_hash").alias("a"), F.col("head").alias("b"), bucket)
+        return checkpoint(sent.groupBy("bucket").cogroup(cut.groupBy("bucket")).applyInArrow(verify, "a long, b long"))
 
     edges = verified(star)
     # All other pairs of a posting that are not in one component: a block of its members against each member.
     members = postings.join(connected_components(edges), F.col("text_hash") == F.col("node"), "left").select("position", "bytes", "text_hash", "n", "members", F.coalesce("label", "text_hash").alias("label"))
+    members = members.where(F.col("n") >= _WIDE_LANE * F.pow(F.lit(2), F.shiftright("position", 8)))
     several = members.groupBy("position", "bytes").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("position", "bytes")
     members = checkpoint(members.join(several, ["position", "bytes"], "left_semi"))
     blocks = F.ceil(F.col("members") / _BLOCK).cast("int")
@@ -262,7 +282,9 @@ def keep_first_of_group(docs: DataFrame, shingle: int = 5, similarity: float = 0
     labelled = near_duplicates(docs, shingle, similarity)
     order = F.struct(F.col("first_id").isNull(), "first_id", "text_hash")
     firsts = labelled.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.text_hash").alias("_kept_hash"), F.col("k.first_id").alias("_kept_id"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    rows = rows.join(firsts, (F.col("_text_hash") == F.col("_kept_hash")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    text_hash, kept_hash, kept_id = (free_name(docs, c) for c in ("_text_hash", "_kept_hash", "_kept_id"))
+    rows = docs.withColumn(text_hash, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    firsts = firsts.withColumnsRenamed({"_kept_hash": kept_hash, "_kept_id": kept_id})
+    rows = rows.join(firsts, (F.col(text_hash) == F.col(kept_hash)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
     # Rows of the same doc_id and text: one stays.
-    return rows.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return rows.dropDuplicates(["doc_id", text_hash]).drop(text_hash)
