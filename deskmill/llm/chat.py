@@ -17,8 +17,10 @@ Template: ``[INST] user text [/INST]``, ``<s>assistant text</s>``, any other rol
 the first character of each control string; ``unescape`` takes both back.
 
 Cases: null text and null role are empty strings; null conv_id is one conversation; null seq stands
-first; equal seq is ordered by role, then text; repeated rows without ``message`` are repeated
-turns; empty tables give no rows; other columns are ignored.
+first; events of one message with equal seq are ordered by kind, then text, and messages with equal seq by role,
+then text; a null turn of a log's source stands first; repeated rows without ``message`` are repeated turns; a very
+long text, or a text in very many deltas, is one message and must fit a row; empty tables give no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -1,16 +1,17 @@
 """Quality rules by cross-document line frequency, with DataFrame functions only.
 
-Lines are normalised (case, digits, white space) and hashed; for every host the distinct documents
-with a line are counted, where whole copies of a text count once.  Lines in more than
-``max_documents`` documents of their host are removed, and a document that keeps less than
-``min_kept`` of its words is rejected, as is one that fails the base rules.
+Lines are normalised (case, digits, white space) and hashed, and for every host the documents that have a line are
+counted.  A line goes from its host's documents when it is in more than ``max_share`` of them, in more than
+``min_documents``, and in as many different texts (so copies of one text don't condemn its lines: they are
+duplicates).  A document that keeps less than ``min_kept`` of its words is rejected, as is one that fails the base rules.
 
 Line rows are small (two hashes, a position and a count), counts are combined before the shuffle,
 and the join back to lines is one that Spark splits where a line is frequent.
 
 Cases: a null or blank text has no words and fails the base rules; a null host is a host of its own;
-repeated rows get the same result each and count once; an empty table gives no rows; columns of
-the input keep their names, but one with the name of an added column (METRICS, text_kept) is replaced.
+repeated rows are documents of their own and get the same result each; a very long text is one row, whose lines
+are rows of their own; an empty table gives no rows; columns of the input keep their values, whatever their
+names, for the result is one struct column.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskmill.llm.common import SPACE_CLASS
+from deskmill.llm.common import SPACE_CLASS, free_name
 
-METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def words_of(text: Column) -> Column:
@@ -45,37 +46,45 @@ def base_metrics(docs: DataFrame, text: str, min_words: int, max_repeat_percent:
     return d.drop("_words", "_windows", "_sorted", "_again", "_lines")
 
 
-def removed_lines(docs: DataFrame, key: list[str], host: str, text: str, max_documents: int) -> DataFrame:
-    """Per document (by ``key``): words and positions of the lines that are too frequent on its host."""
-    lines = docs.select(*key, F.col(host).alias("_host"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("_pos", "_line"))
-    lines = lines.select(*key, "_host", "_pos", F.size(words_of(F.col("_line"))).alias("_n"), F.xxhash64(normalised("_line")).alias("_hash")).where(F.col("_n") > 0)
-    counts = lines.groupBy(F.col("_host").alias("_h"), F.col("_hash").alias("_l")).agg(F.countDistinct("_text_hash").alias("_docs"))
-    frequent = counts.where(F.col("_docs") > max_documents)
-    gone = lines.join(frequent, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_hash") == F.col("_l")), "left_semi")
+def removed_lines(docs: DataFrame, max_share: float, min_documents: int) -> DataFrame:
+    """Per document (key) of ``docs`` (key, host, text): words and positions of the lines that are too frequent on its host."""
+    lines = docs.select("key", "host", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.select("key", "host", "pos", F.size(words_of(F.col("line"))).alias("n"), F.xxhash64(normalised("line")).alias("hash")).where("n > 0")
+    # A document's own repeats of a line count once.
+    own = docs.select("host", F.col("key.text_hash").alias("text_hash"), F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.size(words_of(x)) > 0), lambda x: F.xxhash64(normalised(x))))).alias("hash"))
+    counts = own.groupBy("host", "hash", "text_hash").agg(F.count("*").alias("n")).groupBy(F.col("host").alias("h"), F.col("hash").alias("l")).agg(F.sum("n").alias("documents"), F.count("*").alias("texts"))
+    hosts = docs.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("all"))
+    many = (F.col("documents") > min_documents) & (F.col("texts") > min_documents)
+    frequent = counts.where(many).join(hosts, F.col("h").eqNullSafe(F.col("of"))).where(F.col("documents") > max_share * F.col("all")).select("h", "l")
+    gone = lines.join(frequent, F.col("host").eqNullSafe(F.col("h")) & (F.col("hash") == F.col("l")), "left_semi")
     # A set, so that repeated rows of one document do not add up; it is as long as the document has lines.
-    gone = gone.groupBy(*key).agg(F.collect_set(F.struct("_pos", "_n")).alias("_gone"))
-    return gone.select(*key, F.expr("aggregate(_gone, 0L, (a, x) -> a + x._n)").alias("removed_words"), F.expr("transform(_gone, x -> x._pos)").alias("_positions"))
+    gone = gone.groupBy("key").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
+    return gone.select("key", F.expr("aggregate(gone, 0L, (a, x) -> a + x.n)").alias("removed_words"), F.expr("transform(gone, x -> x.pos)").alias("positions"))
 
 
-def normalised(line: str) -> Column:
-    x = F.regexp_replace(F.lower(F.btrim(F.col(line), F.lit(" \t\n\x0b\f\r"))), SPACE_CLASS + "+", " ")
+def normalised(line: str | Column) -> Column:
+    x = F.regexp_replace(F.lower(F.btrim(F.col(line) if isinstance(line, str) else line, F.lit(" \t\n\x0b\f\r"))), SPACE_CLASS + "+", " ")
     return F.regexp_replace(x, "[0-9]", "0")
 
 
-def line_frequency_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_documents: int = 100, min_kept: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """``docs`` with METRICS and ``text_kept``, the text without the removed lines."""
-    key = ["_id", "_text_hash"]
-    d = docs.withColumn("_id", F.col(doc_id)).withColumn("_text_hash", F.xxhash64(F.col(text).cast("string")))
-    gone = removed_lines(d, key, host, text, max_documents)
+def line_frequency_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_share: float = 0.05, min_documents: int = 5, min_kept: float = 0.8, min_words: int = 50, max_repeat_percent: int = 50, into: str | None = None) -> DataFrame:
+    """``docs`` and a struct column ``into`` (by default ``quality``): METRICS, removed_words, kept, and text_kept without the removed lines."""
+    into = into or free_name(docs, "quality")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    d = docs.select(row, F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(host).cast("string").alias("host"))
+    d = d.withColumn("key", F.struct("id", F.xxhash64("text").alias("text_hash"))).drop("id")
+    gone = removed_lines(d.drop("row"), max_share, min_documents)
     # Small rows per text; the aggregate also keeps filters on the verdict from being pushed into the metrics' expressions.
-    base = base_metrics(d.select(*key, F.col(text).alias("_t")), "_t", min_words, max_repeat_percent)
-    base = base.groupBy(*key).agg(*(F.first(c).alias(c) for c in METRICS[:6]))
-    both = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_text_hash") == F.col("_ghash"))
-    verdict = base.join(gone.withColumnsRenamed({"_id": "_gid", "_text_hash": "_ghash"}), both, "left").drop("_gid", "_ghash")
+    base = base_metrics(d.select("key", "text"), "text", min_words, max_repeat_percent)
+    base = base.groupBy("key").agg(*(F.first(c).alias(c) for c in METRICS))
+    verdict = base.join(gone.withColumnRenamed("key", "gone_key"), same("key", "gone_key"), "left").drop("gone_key")
     verdict = verdict.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     verdict = verdict.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= min_kept * F.col("n_words")))
-    verdict = verdict.withColumnsRenamed({"_id": "_gid", "_text_hash": "_ghash"})
-    d = d.drop(*METRICS, "_positions", "text_kept").join(verdict, both)
-    kept = F.array_join(F.filter(F.split(F.col(text).cast("string"), "\n"), lambda x, i: ~F.array_contains("_positions", i)), "\n")
-    d = d.withColumn("text_kept", F.when(F.col("_positions").isNull(), F.col(text)).otherwise(kept))
-    return d.drop("_id", "_text_hash", "_gid", "_ghash", "_positions")
+    both = d.join(verdict.withColumnRenamed("key", "found"), same("key", "found"))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("positions", i)), "\n")
+    text_kept = F.when(F.col("positions").isNull(), F.col("text")).otherwise(kept).alias("text_kept")
+    return both.select("row.*", F.struct(*METRICS, "removed_words", "kept", text_kept).alias(into))
+
+
+def same(a: str, b: str) -> Column:
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & F.col(f"{a}.text_hash").eqNullSafe(F.col(f"{b}.text_hash"))

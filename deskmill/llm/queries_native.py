@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deskmill.llm.common import table
 
 
+def conversation_events(rows: DataFrame) -> DataFrame:
+    """An event log that folds to ``rows`` (conv_id, turn, role, text): by turn, a turn is one message, a draft that is
+    dropped and streamed anew in two deltas, or a draft that is edited."""
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+
+    def events(*log: tuple[str, Column]) -> Column:
+        return F.array(*(F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate(log)))
+
+    draft = F.lit("draft </s>")
+    streamed = events(("delta", draft), ("regenerate", F.lit(None).cast("string")), ("delta", F.substring("text", F.lit(1), half)), ("delta", F.substring("text", half + 1, F.length("text"))))
+    way = F.pmod("turn", F.lit(3))
+    log = F.when(way == 1, streamed).when(way == 2, events(("message", draft), ("edit", F.col("text")))).otherwise(events(("message", F.col("text"))))
+    e = rows.select("conv_id", "turn", "role", number.cast("long").alias("message"), F.explode(log).alias("e"))
+    return e.select("conv_id", (F.col("turn") * 4 + F.col("e.i")).cast("long").alias("seq"), "message", "e.kind", "role", "e.text")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deskmill.llm.chat import format_conversations, loss_text, parse_turns
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    events = rows.unionByName(control).select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("long").alias("message"), F.lit("message").alias("kind"), "role", "text")
+    events = conversation_events(rows.unionByName(control))
     done = format_conversations(events)
     done = done.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), parse_turns(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -41,7 +58,8 @@ def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deskmill.llm.line_frequency import line_frequency_rules
 
     judged = line_frequency_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+    return judged.select("doc_id", *(f"quality.{c}" for c in names))
 
 
 _SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
@@ -56,7 +74,9 @@ l AS (SELECT *, len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'),
   regexp_replace(regexp_replace(lower(trim(line, {_SPACES})), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[0-9]', '0', 'g') AS norm FROM raw),
 lw AS (SELECT * FROM l WHERE n > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY r),
-freq AS (SELECT source, norm FROM lw GROUP BY source, norm HAVING count(DISTINCT t) > 100),
+hosts AS (SELECT source, count(*) AS every FROM d GROUP BY source),
+freq AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT r) AS ds, count(DISTINCT t) AS ts FROM lw GROUP BY source, norm) c
+  WHERE ds > 5 AND ts > 5 AND ds > 0.05 * (SELECT every FROM hosts h WHERE h.source IS NOT DISTINCT FROM c.source)),
 gone AS (SELECT r, sum(n) AS n FROM lw WHERE EXISTS (SELECT 1 FROM freq f WHERE f.source IS NOT DISTINCT FROM lw.source AND f.norm = lw.norm) GROUP BY r),
 m AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
@@ -66,7 +86,7 @@ m AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.5 * n_words AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.8 * n_words AS kept, CAST(gone AS BIGINT) AS removed_words
 FROM m
 """
 

@@ -62,8 +62,11 @@ def test_line_frequency(spark):
     docs = [(i, "\n".join([menu.replace("12", str(i)), *(body.format(i, i * 31 + k) for k in range(8))]), "h") for i in range(8)]
     docs += [(100, "\n".join(["home  |  about 7"] * 30), "h"), (101, docs[0][1], "other"), (None, None, None), (103, "", "h"), (104, " \n\t\n", "h")]
     docs += [docs[0], (105, docs[0][1], "h")]
-    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, source string, n_words int")
-    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.removed_words, r.kept, r.text_kept) for r in line_frequency_rules(df, max_documents=8, min_words=20, max_repeat_percent=100).collect()), key=str)
+    df = spark.createDataFrame([(*d, 1, "q", 2, 3) for d in docs], "doc_id long, text string, source string, n_words int, quality string, _id int, key int")
+    done = line_frequency_rules(df, min_documents=8, min_words=20, min_kept=0.5, max_repeat_percent=100)
+    assert done.columns == [*df.columns, "quality_"]
+    assert {tuple(r)[3:7] for r in done.collect()} == {(1, "q", 2, 3)}
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.removed_words, r.kept, r.text_kept) for r in done.select("doc_id", "quality_.*").collect()), key=str)
     by = {}
     for doc_id, removed, kept, text in got:
         by.setdefault(doc_id, []).append((removed, kept, text))
@@ -72,18 +75,25 @@ def test_line_frequency(spark):
     assert by[100] == [(120, False, "")]
     assert by[101][0][0] == 0 and by[101][0][1]
     assert by[-1] == [(0, False, None)] and not by[103][0][1] and not by[104][0][1]
-    got = line_frequency_rules(df, max_documents=9, min_words=20)
-    assert got.where("removed_words > 0").count() == 0
+    assert by[105] == by[0][:1]
+    for less in (line_frequency_rules(df, min_documents=9), line_frequency_rules(df, min_documents=8, max_share=0.9)):
+        assert less.where("quality_.removed_words > 0").count() == 0
     assert line_frequency_rules(df.limit(0)).count() == 0
 
 
+def test_the_line_rule_decides_on_the_table(spark):
+    rows = QUERIES["op5_line_frequency"](spark, "/root/testdata/sf0.01")
+    assert rows.where("removed_words > 0").count() > 50
+    assert rows.where("NOT base_failed AND NOT kept").count() > 0
+
+
 def test_repeat_words_against_brute_force(spark):
     import random
 
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["a " * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
-    for r in line_frequency_rules(df).select("doc_id", "n_repeat_words").collect():
+    for r in line_frequency_rules(df).select("doc_id", "quality.n_repeat_words").collect():
         w = texts[r.doc_id].split()
         seen = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         from collections import Counter
