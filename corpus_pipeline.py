@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm.common import checkpoint, table
+from deskmill.llm.common import checkpoint, free_name, table
 from deskmill.llm.decontamination import without_leaks
 from deskmill.llm.line_frequency import line_frequency_rules
 from deskmill.llm.packing import pack_documents
@@ -19,8 +19,9 @@ from deskmill.llm.substring_dedup import dedup_substrings
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines that are too frequent on their host go from the others."""
-    judged = line_frequency_rules(docs).where("kept")
-    return judged.select(*(F.col("text_kept").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    into = free_name(docs, "quality")
+    judged = line_frequency_rules(docs, into=into).where(F.col(f"{into}.kept"))
+    return judged.select(*(F.col(f"{into}.text_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
