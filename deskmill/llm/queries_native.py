@@ -21,7 +21,8 @@ def conversation_events(rows: DataFrame) -> DataFrame:
     streamed = events(("delta", draft), ("regenerate", F.lit(None).cast("string")), ("delta", F.substring("text", F.lit(1), half)), ("delta", F.substring("text", half + 1, F.length("text"))))
     way = F.pmod("turn", F.lit(3))
     log = F.when(way == 1, streamed).when(way == 2, events(("message", draft), ("edit", F.col("text")))).otherwise(events(("message", F.col("text"))))
-    e = rows.select("conv_id", "turn", "role", number.cast("long").alias("message"), F.explode(log).alias("e"))
+    rows = rows.withColumn("message", number.cast("long"))
+    e = rows.select("conv_id", "turn", "role", "message", F.explode(log).alias("e"))
     return e.select("conv_id", (F.col("turn") * 4 + F.col("e.i")).cast("long").alias("seq"), "message", "e.kind", "role", "e.text")
 
 
