@@ -9,19 +9,21 @@ by a window whose word sequence starts earlier too (smaller doc_id, or earlier i
    symbols in one long.
 2. Automata.  Documents are dealt to buckets of a bounded size.  For every bucket the recurring phrases that
    occur in it are compiled into an Aho-Corasick automaton (one shard), and all documents of the
-   bucket are streamed through it, which locates every occurrence.  Each occurrence
-   that anchors windows is a passage: the run of these windows.
-3. Passages.  Equal passages are compared by hash: the first one in corpus order stays, in all others
+   bucket are streamed through it.  Its hits are all that is looked at further: a hit is compared with the phrases up to
+   a window around it, which gives the run of windows that it anchors, a passage.
+3. Passages.  Of equal passages (by hash) the first one in corpus order stays, in all others
    every window starts earlier too.  Passages that stay are compared window by window in the same way.
 4. The spans found go back to their bucket, where the words are removed.
 
-A phrase, passage or window adds one row per bucket to a shuffle however often the bucket
-has it, so no group is larger than the number of buckets.  Texts are shuffled once, to their buckets.
-Symbols only propose candidates; the decision rests on 64-bit hashes of the words.
+The first occurrence of a passage or window is a minimum, combined before the shuffle, and it meets the other occurrences
+by document and place, so no key's occurrences are gathered; a phrase has one row per bucket, or slice of one, in
+a sum.  Texts are shuffled once, to their buckets.  Symbols only propose candidates; the
+decision rests on 64-bit hashes of the words.
 
 Cases: a null or blank text has no words; documents of fewer words than a window stay; null doc_ids
 are the smallest; rows with the same doc_id are ordered by a hash of their text; of repeated rows
-(same doc_id and text) one comes first and the others repeat it; an empty table gives no rows.
+(same doc_id and text) one comes first and the others repeat it; a very long text is a bucket's largest part, worked
+whole; an empty table gives no rows; other columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -93,26 +95,39 @@ def _recurring_phrases(docs: DataFrame, window: int) -> DataFrame:
     return rows.withColumn("total", total).where("total > 1").select("bucket", "phrase")
 
 
-def _locate(phrases: np.ndarray, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """True where one of the phrases starts, found by an Aho-Corasick automaton over the symbols."""
+def _occurrences(phrases: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Places where one of the phrases starts, ascending, found by an Aho-Corasick automaton over the symbols."""
     import ahocorasick
 
+    if not len(phrases):
+        return np.empty(0, np.int64)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     shifts = U64(_BITS) * np.arange(PHRASE - 1, -1, -1, dtype=U64)
     letters = (phrases[:, None] >> shifts & U64((1 << _BITS) - 1)).astype("<u4") + _BASE
     joined = letters.tobytes().decode("utf-32-le")
     for i in range(0, len(joined), PHRASE):
         automaton.add_word(joined[i : i + PHRASE])
-    out = np.zeros(len(symbols), bool)
-    if not len(phrases):
-        return out
     automaton.make_automaton()
     text = (symbols.astype("<u4") + _BASE).tobytes().decode("utf-32-le")
-    ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-    starts = ends - PHRASE + 1
-    out[starts] = True
-    # A hit that runs over the end of a text starts no window.
-    return out
+    return np.fromiter((end for end, _ in automaton.iter(text)), np.int64) - PHRASE + 1
+
+
+def _runs(hits: np.ndarray, keys: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows that each hit anchors, for hits that anchor some."""
+    doc = np.searchsorted(first, hits, side="right") - 1
+    begin, end = first[doc], first[doc + 1]
+    inside = hits + PHRASE <= end
+    hits, begin, end = hits[inside], begin[inside], end[inside]
+    order, reach = mix(keys + U64(1)), window - PHRASE
+    mine = order[hits]
+    low, high = np.maximum(hits - reach, begin), np.minimum(hits, end - window)
+    for d in range(1, reach + 1):
+        before = np.maximum(hits - d, begin)  # of equal phrases the first is the anchor
+        low = np.where((before < hits) & (order[before] <= mine), np.maximum(low, before + 1), low)
+        after = np.minimum(hits + d, end - PHRASE)
+        high = np.where(order[after] < mine, np.minimum(high, after - reach - 1), high)
+    some = high >= low
+    return low[some], high[some]
 
 
 def _positions(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -157,17 +172,12 @@ def _passages(docs: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
         left = left.take(pa.array(order[~same]))
         t = split_words(left["text"].combine_chunks())
         symbols, keys = _phrase_keys(t.hash)
-        hit = _locate(np.unique(right["phrase"].combine_chunks().to_numpy()).view(U64), symbols, t.first)
-        starts = _window_starts(t, window)
-        anchor = _anchors(keys, starts, window)
-        ok = hit[anchor]
-        starts, anchor = starts[ok], anchor[ok]
+        hits = _occurrences(np.unique(right["phrase"].combine_chunks().to_numpy()).view(U64), symbols)
+        low, high = _runs(hits, keys, t.first, window)
+        n = high - low + 1
+        head = np.cumsum(n) - n
+        starts = np.repeat(low - head, n) + np.arange(n.sum())
         hashes = window_hashes(t.hash, window)[starts]
-        # A passage: neighbouring windows with one anchor.
-        new = np.ones(len(starts), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
-        head = np.flatnonzero(new)
-        n = np.diff(np.concatenate([head, [len(starts)]]))
         place = np.arange(len(starts)) - np.repeat(head, n)
         total = np.add.reduceat(mix(hashes + place.astype(U64)), head) if len(head) else np.empty(0, U64)
         passage = mix(total + n.astype(U64))
@@ -180,21 +190,29 @@ def _passages(docs: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
     return docs.groupBy("bucket").cogroup(phrases.groupBy("bucket")).applyInArrow(locate, _OCCURRENCE + ", windows array<long>")
 
 
-def _rank(rows: DataFrame, parts: int) -> DataFrame:
-    """``rank`` 1 for the first occurrence of a key; a key has a row per bucket at most."""
-    order = Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_first(), "tie", "start")
-    return rows.repartition(parts, "key").withColumn("rank", F.row_number().over(order))
+_PLACE = ["has_id", "doc_id", "tie", "start"]
+
+
+def _told(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` with ``is_first``: whether a row is the first occurrence of its key."""
+    rows = rows.withColumn("has_id", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    rows = rows.repartition(parts, "key", *_PLACE)
+    # Always true, asks for all columns and stays above the shuffle (for it has a random term), so that one shuffle serves all readers.
+    every = [F.size(c) if kind.startswith("array") else F.col(c).cast("double") for c, kind in rows.dtypes]
+    rows = rows.where(F.coalesce(F.greatest(F.rand(0), *every), F.lit(0.0)) >= 0)
+    firsts = rows.groupBy("key").agg(F.min(F.struct(*_PLACE)).alias("p")).select("key", "p.*", F.lit(True).alias("is_first"))
+    return rows.join(firsts, ["key", *_PLACE], "left").withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id")))
 
 
-def _spans(ranked: DataFrame) -> DataFrame:
-    own = F.when(F.col("rank") > 1, F.array(F.struct("doc_id", "tie", "start", "n"))).otherwise(F.array().cast("array<struct<doc_id: long, tie: long, start: int, n: int>>"))
-    return ranked.select("bucket", F.explode(F.concat(own, "later")).alias("s")).select("bucket", "s.*")
+def _spans(told: DataFrame) -> DataFrame:
+    own = F.when(F.col("is_first").isNull(), F.array(F.struct("doc_id", "tie", "start", "n"))).otherwise(F.array().cast("array<struct<doc_id: long, tie: long, start: int, n: int>>"))
+    return told.select("bucket", F.explode(F.concat(own, "later")).alias("s")).select("bucket", "s.*")
 
 
-def _windows(ranked: DataFrame) -> DataFrame:
-    """Windows of the passages that stay, one row per bucket and window."""
-    w = ranked.where("rank = 1 AND n > 0 AND size(later) >= 0").select("bucket", "doc_id", "tie", "start", F.posexplode("windows").alias("i", "key"))
-    return w.select("key", "bucket", "doc_id", "tie", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n"), F.array().cast("array<struct<doc_id: long, tie: long, start: int, n: int>>").alias("later"))
+def _windows(told: DataFrame) -> DataFrame:
+    """Windows of the passages that stay."""
+    w = told.where("is_first AND n > 0 AND size(later) >= 0").select("bucket", "doc_id", "tie", "start", F.posexplode("windows").alias("i", "key"))
+    return w.select("key", "bucket", "doc_id", "tie", (F.col("start") + F.col("i")).alias("start"))
 
 
 def _rewrite(docs: DataFrame, spans: DataFrame, window: int, keep_untouched: bool) -> DataFrame:
@@ -236,23 +254,24 @@ def _rewrite(docs: DataFrame, spans: DataFrame, window: int, keep_untouched: boo
     return docs.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(remove, T.StructType([*fields, *added]))
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 20, bucket_mb: float = 8, keep_untouched: bool = False) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = 20, bucket_mb: float = 8, task_mb: float = 24, keep_untouched: bool = False) -> DataFrame:
     """Each row of ``docs`` with n_words, n_removed and ``kept``: the words that stay, joined by one space.
 
-    ``keep_untouched`` leaves texts without a repeated passage as they are.  Other columns of ``docs`` are kept as c0, c1 and so on.
+    A bucket, of about ``bucket_mb`` of text, is what one automaton sees; a task works the buckets of ``task_mb``.  ``keep_untouched`` leaves texts without a repeated passage as they are.  Other columns of ``docs`` are kept as c0, c1 and so on.
     """
     if window < PHRASE:
         raise ValueError(f"a window has {PHRASE} words at least")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
     d = d.withColumn("tie", F.xxhash64("text"))
-    buckets = max(4, int(text_mb(docs) / bucket_mb) + 1)
+    size = text_mb(docs)
+    buckets, parts = 1 + int(size / bucket_mb), 1 + int(size / task_mb)
     bucket = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.col("tie")), F.lit(buckets)).cast("int")
-    d = d.withColumn("bucket", bucket).repartition(buckets, "bucket")
+    d = d.withColumn("bucket", bucket).repartition(parts, "bucket")
     # Both readers of the passages ask for all columns, so that they share one shuffle.
-    passages = _rank(_passages(d, _recurring_phrases(d, window), window), buckets)
-    windows = _rank(_windows(passages), buckets)
-    return _rewrite(d, _spans(passages.where("size(windows) > 0")).unionByName(_spans(windows)), window, keep_untouched)
+    passages = _told(_passages(d, _recurring_phrases(d, window), window), parts)
+    windows = _told(_windows(passages), parts).where("is_first IS NULL").select("bucket", "doc_id", "tie", "start", F.lit(1).alias("n"))
+    return _rewrite(d, _spans(passages.where("size(windows) > 0")).unionByName(windows), window, keep_untouched)
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:

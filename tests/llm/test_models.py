@@ -80,3 +80,50 @@ def test_support_is_the_same_at_every_size(spark):
     rules = mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()
     assert "host=rare-casino.net" in {t for r in rules for t in r.tokens}
     assert all(r.support >= 0.002 and r.confidence == 1.0 for r in rules)
+
+
+def test_mined_verdicts_against_brute_force(spark):
+    import math
+    import random
+    from itertools import combinations
+
+    from deskmill.llm.url_rules import url_tokens
+
+    rng = random.Random(4)
+    urls = []
+    for i in range(600):
+        words = [rng.choice("abcdefgh"), rng.choice("klmnop"), rng.choice("xyz")]
+        bad = rng.random() < (0.95 if {"a", "k"} <= set(words) or words[0] == "b" else 0.05)
+        urls.append((f"http://{rng.choice(['s', 't', 'u-v'])}.example.org/{'/'.join(words)}", bad))
+    df = spark.createDataFrame(urls, "url string, bad boolean")
+    rows = [(set(r.t), r.bad) for r in df.select(url_tokens(F.col("url")).alias("t"), "bad").collect()]
+    n, base = len(rows), sum(b for _, b in rows) / len(rows)
+    every, bads = {}, {}
+    for tokens, bad in rows:
+        for size in (1, 2, 3):
+            for c in combinations(sorted(tokens), size):
+                every[c] = every.get(c, 0) + 1
+                bads[c] = bads.get(c, 0) + bad
+    least = max(math.ceil(0.01 * n), 2)
+    candidates = [c for c in bads if bads[c] >= least]
+
+    def good(c):
+        k, m = bads[c], every[c]
+        q = k / m
+        g = m * (q * math.log(q / base) + ((1 - q) * math.log((1 - q) / (1 - base)) if q < 1 else 0))
+        return q >= max(0.6, 2 * base) and len(candidates) * math.exp(-g) <= 1
+
+    rules = [c for c in candidates if good(c)]
+    rules = [c for c in rules if not any(set(x) < set(c) and bads[x] / every[x] >= bads[c] / every[c] for x in rules)]
+    assert {("path=b",), ("path=a", "path=k")} <= set(rules)
+    pages = df.select(F.monotonically_increasing_id().alias("page_id"), "url").collect()
+    want = {p.page_id for p, (tokens, _) in zip(pages, rows) if any(set(c) <= tokens for c in rules)}
+    mined = mine_rules(df, min_support=0.01)
+    got = {r.page_id for r in judge_urls(spark.createDataFrame(pages), listed_rules(spark, LISTED), mined).where("verdict = 'block'").collect()}
+    assert 50 < len(want) < 150 and got == want
+
+
+def test_hosts_of_many_dots(spark):
+    df = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "net/es/x"), (2, "http://" + "." * 50_000 + "/")], "page_id long, url string")
+    empty = mine_rules(df.select("url", F.lit(True).alias("bad")))
+    assert [tuple(r) for r in judge_urls(df, listed_rules(spark, LISTED), empty).select("page_id", "rule", "verdict").orderBy("page_id").collect()] == [(1, "net/es/", "block"), (2, None, "allow")]
