@@ -1,6 +1,6 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits.  Every n-gram of a test item is a seed: counts in the
+Words are runs of characters other than ASCII marks and white space, A-Z in lower case.  Every n-gram of a test item is a seed: counts in the
 corpus would not tell which ones an edited copy keeps.  A seed in a passage makes it a candidate for the
 item; where the passage holds enough of the item's words for ``min_score``, the item is aligned to
 it; the score is that of the best local alignment over that of a perfect copy.  A copy without
@@ -10,7 +10,9 @@ The corpus is read where it lies, once for each block of items, and never shuffl
 and to the tasks in blocks of at most ``block_mb`` of text, so any number of items works.
 
 Cases: null or blank texts match nothing; items of fewer words than a seed use all their words as one
-seed; repeated items and documents each give their own rows; null ids are kept; empty tables give no rows.
+seed; repeated items and documents each give their own rows; null ids are kept; a very long text is worked as one slice
+of its own, and its passages are a few lengths of an item; empty tables give no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.llm.alignment import PAD_A, PAD_B, padded, seed_hits, smith_waterman
-from deskmill.llm.common import text_mb
+from deskmill.llm.common import free_name, text_mb
 from deskmill.llm.words import U64, pieces, split_words, whole_windows, window_hashes
 
 RESULT = "doc_id long, item_id long, score double, start_word long, end_word long"
 _MATCH = 2
+#: Cells of a row of alignments that are worked at once.
+_CELLS = 1 << 20
 
 
 def _grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -37,7 +41,7 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
 
 def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, min_score: float = 0.5, block_mb: float = 16) -> DataFrame:
     """doc_id, item_id, score (0 to 1) and the span of words, for each document that holds a copy of an item."""
-    blocks = max(1, -(-int(text_mb(items)) // int(block_mb)))
+    blocks = 1 + int(text_mb(items) / block_mb)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -93,8 +97,11 @@ def _leaks_of(docs: DataFrame, items: list, n: int, min_score: float) -> DataFra
                     continue
                 best: dict[tuple[int, int], tuple] = {}
                 keys = keys[np.argsort(lengths[keys[:, 1]], kind="stable")]
-                for at in range(0, len(keys), 256):
-                    some = keys[at : at + 256]
+                at = 0
+                while at < len(keys):  # at most 256 pairs, fewer of long items
+                    longest = lengths[keys[min(at + 256, len(keys)) - 1, 1]]
+                    some = keys[at : at + max(1, min(256, _CELLS // (4 * longest)))]
+                    at += len(some)
                     low = np.maximum(t.first[some[:, 0]], t.first[some[:, 0]] + (2 * some[:, 2] - 1) * lengths[some[:, 1]] // 2)
                     high = np.minimum(t.first[some[:, 0] + 1], t.first[some[:, 0]] + (2 * some[:, 2] + 5) * lengths[some[:, 1]] // 2)
                     hold = np.array([enough(i, t.hash[x:y]) for i, x, y in zip(some[:, 1].tolist(), low.tolist(), high.tolist(), strict=True)], bool)
@@ -123,5 +130,6 @@ def _leaks_of(docs: DataFrame, items: list, n: int, min_score: float) -> DataFra
 
 def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.5) -> DataFrame:
     """``docs`` without the documents that hold a test item; null doc_ids are compared like others."""
-    leaks = find_leaks(docs, items, min_score=min_score).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    leak = free_name(docs, "_leak")
+    leaks = find_leaks(docs, items, min_score=min_score).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(leak)), "left_anti")

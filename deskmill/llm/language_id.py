@@ -10,7 +10,8 @@ The classifier is fitted on at most ``sample_per_language`` labelled documents o
 
 Cases: a null text, and one without a letter, is ``und`` with score 0; a one-letter text has its n-grams with the
 gaps around it; equal posteriors give the first language by name; without training rows all is ``und``;
-null languages and null ids don't train; repeated rows are predicted each; an empty table gives no rows.
+null languages and null ids don't train; repeated rows are predicted each; a very long text is worked as one slice of
+its own; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from deskmill.llm.words import U64, mix, pieces
 
 UNKNOWN = "und"
+#: Cells (n-grams times languages) that are worked at once.
+_CELLS = 1 << 22
 ORDERS = (2, 3)
 
 
@@ -74,11 +77,12 @@ def sparse_counts(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarra
 
 
 def train(rows: DataFrame, buckets: int = 1 << 15, sample_per_language: int = 5000, max_languages: int = 512) -> tuple[list[str], np.ndarray]:
-    """Languages and the matrix languages x (buckets + 1) of log probabilities; the last column is the prior."""
+    """Languages and the matrix languages x (buckets + 1) of log probabilities; the last column is the prior.
+
+    The ``max_languages`` languages with most labelled rows are learned, which bounds the matrix.
+    """
     rows = rows.select(F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not sizes:
         return [], np.empty((0, buckets + 1), np.float32)
     # Rows under a share of the hash range that leaves about the wanted number, then exactly that many at most.
@@ -123,9 +127,11 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
                 texts = [t or "" for t in part["text"].to_pylist()]
                 doc, bucket, n = sparse_counts(texts, buckets)
                 total = np.tile(matrix[:, -1].astype(np.float64), (len(texts), 1))
-                if len(doc) and len(langs):
-                    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                    total[doc[first]] += np.add.reduceat(by_bucket[bucket] * n[:, None], first, axis=0)
+                step = max(1, _CELLS // max(1, len(langs)))
+                for at in range(0, len(doc) if langs else 0, step):
+                    d, b, k = doc[at : at + step], bucket[at : at + step], n[at : at + step]
+                    first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                    total[d[first]] += np.add.reduceat(by_bucket[b] * k[:, None], first, axis=0)
                 known = np.array([any(map(str.isalpha, t)) for t in texts]) & bool(langs)
                 names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
                 if known.any():

@@ -1,6 +1,6 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment reports coverage.
 
-Words are lower-cased runs of letters and digits.  Each template is fingerprinted by winnowing its
+Words are runs of characters other than ASCII marks and white space, A-Z in lower case.  Each template is fingerprinted by winnowing its
 k-word grams (the least hash of every ``window`` neighbours; all grams of a short template); the
 inverted index of these fingerprints, whose size depends on the templates only, is broadcast.  A
 document's grams are looked up in it, and every hit gives a template and a place; the template
@@ -11,7 +11,7 @@ are matched in order, and the span is in words of the document.
 
 Cases: null or blank texts match nothing; templates without words are ignored; a template that occurs
 more than once in a text has a row for each place; repeated rows each give their rows; null doc_ids are kept;
-an empty table gives no rows.
+a very long text is worked as one slice of its own; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
