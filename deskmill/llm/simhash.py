@@ -15,8 +15,9 @@ verified without listing pairs, by looking up the 136 byte pairs near each.
 can't tell.  Its fingerprint is wide: distinct shingles are dealt to lanes by hash, some four
 to a lane, and each lane gets the eight bytes of its own SimHash.  Lanes in common are postings in common.
 First the members of a posting meet the one that shares most (a star, which joins the copies of an original at
-once); then the pairs of the postings of wide lanes that are not in one component by then meet.  The similarity of
-both kinds is verified over whole texts, which are sent once to a bucket of many pairs, not once for each pair.
+once); then the pairs of the postings of wide lanes that are not in one component by then meet, those of one
+family (the texts that share a most frequent head) in blocks of texts in which lanes in common are tallied, the few others as
+pairs.  The similarity is verified over whole texts, which are sent once to a bucket of many pairs, not once for each pair.
 
 Cases: a null or blank text has no words: fingerprint zero, linked like any other here, and a copy of
 other blank texts there; fewer words than a shingle are one shingle; a very long text is worked as one
@@ -232,9 +233,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     star = checkpoint(met.where("text_hash <> head").where(near).select(*pair).distinct())
     # Texts of one family mostly share their most frequent head: blocks of them are verified against each other.
     family = met.groupBy("text_hash").agg(F.max(F.struct("weight", "head")).alias("f"), F.max("n").alias("n")).select("text_hash", "n", F.col("f.head").alias("family"))
-    family = checkpoint(family.join(family.groupBy("family").agg(F.count("*").alias("k")), "family"))
+    family = family.join(family.groupBy("family").agg(F.count("*").alias("k")), "family")
     block = F.xxhash64("family", F.pmod(F.xxhash64("text_hash"), F.ceil(F.col("k") / _BLOCK))).alias("block")
-    family = family.select("text_hash", "n", block)
+    family = checkpoint(family.select("text_hash", "n", "family", block))
 
     def verify(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[int, np.ndarray] = {}
@@ -245,6 +246,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         keep = [i for i, (x, y) in enumerate(ends) if similar(found[x], found[y]) >= similarity]
         return right.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
+    def texts_of(needed: DataFrame) -> DataFrame:
+        """(text_hash, text) of the texts in ``needed``."""
+        # Copies of a text are many rows: salted, so that they are cut down to one in several tasks.
+        wanted = needed.select("text_hash").distinct().select("text_hash", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
+        return checkpoint(salted.join(wanted, ["text_hash", "salt"], "left_semi").groupBy("text_hash").agg(F.first("text").alias("text")))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that are similar: both texts of a pair meet in a bucket of pairs of the same blocks."""
         blocks = pairs.join(family, "text_hash").join(family.select(F.col("text_hash").alias("head"), F.col("n").alias("head_n"), F.col("block").alias("head_block")), "head")
@@ -253,26 +261,56 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         size = needed.agg(F.sum(F.col("n") + shingle)).first()[0] or 0
         bucket = F.pmod("key", F.lit(1 + 8 * size // _BUCKET_BYTES)).alias("bucket")
         needed = needed.select("text_hash", bucket).distinct()
-        # Copies of a text are many rows: salted, so that they are cut down to one in several tasks.
-        wanted = needed.select("text_hash").distinct().select("text_hash", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
-        found = checkpoint(salted.join(wanted, ["text_hash", "salt"], "left_semi").groupBy("text_hash").agg(F.first("text").alias("text")))
+        found = texts_of(needed)
         sent = needed.join(found, "text_hash").select("bucket", "text_hash", "text")
         cut = blocks.select(F.col("text_hash").alias("a"), F.col("head").alias("b"), bucket)
         return checkpoint(sent.groupBy("bucket").cogroup(cut.groupBy("bucket")).applyInArrow(verify, "a long, b long"))
 
+    def link_block(block: pa.Table) -> pa.Table:
+        """Similar pairs, of different components, of the texts of two blocks of a family; lanes in common are tallied first."""
+        block = block.combine_chunks()
+        ids, n, label = (block[c].to_numpy() for c in ("text_hash", "n", "label"))
+        lanes = pa.ListArray.from_arrays(block["lanes"].chunk(0).offsets, block["lanes"].chunk(0).values) if len(ids) else None
+        owner = np.repeat(np.arange(len(ids)), np.diff(lanes.offsets.to_numpy()))
+        _, lane = np.unique(lanes.flatten().to_numpy(), return_inverse=True)
+        order = np.argsort(lane, kind="stable")
+        lane, owner = lane[order], owner[order]
+        tally = np.zeros((len(ids), len(ids)), np.uint8)
+        for some in np.split(owner, np.flatnonzero(np.diff(lane)) + 1):
+            tally[np.ix_(some, some)] += 1
+        able = np.minimum.outer(n, n) >= similarity * np.maximum.outer(n, n) - 1e-6
+        x, y = np.nonzero((tally > 0) & able & (label[:, None] != label[None, :]) & (ids[:, None] < ids[None, :]))
+        sets: list[np.ndarray] = []
+        if len(x):
+            for batch in block.select(["text"]).to_batches():
+                for part in pieces(batch):
+                    sets += shingle_sets(split_words(part["text"], lower=True), shingle)
+        keep = np.array([similar(sets[i], sets[j]) >= similarity for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+        return pa.table({"a": pa.array(ids[x[keep]]), "b": pa.array(ids[y[keep]])})
+
+    def within_families() -> DataFrame:
+        """Similar pairs of one family among the members of postings that are not in one component."""
+        open_ = members.groupBy("family", "text_hash").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list(F.xxhash64("position", "bytes")).alias("lanes"))
+        several = open_.groupBy("family").agg(F.count("*").alias("k"), F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("family", F.ceil(F.col("k") / _BLOCK).cast("int").alias("k"))
+        open_ = checkpoint(open_.join(several, "family"))
+        mine = F.pmod(F.xxhash64("text_hash"), F.col("k")).cast("int")
+        meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.xxhash64("family", F.least(o, mine), F.greatest(o, mine)))
+        sent = open_.join(texts_of(open_), "text_hash").select("text_hash", "n", "label", "lanes", "text", F.explode(meets).alias("meet"))
+        return checkpoint(sent.groupBy("meet").applyInArrow(link_block, "a long, b long"))
+
     edges = verified(star)
     # All other pairs of a posting that are not in one component: a block of its members against each member.
     members = postings.join(connected_components(edges), F.col("text_hash") == F.col("node"), "left").select("position", "bytes", "text_hash", "n", "members", F.coalesce("label", "text_hash").alias("label"))
     members = members.where(F.col("n") >= _WIDE_LANE * F.pow(F.lit(2), F.shiftright("position", 8)))
     several = members.groupBy("position", "bytes").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("position", "bytes")
-    members = checkpoint(members.join(several, ["position", "bytes"], "left_semi"))
+    members = members.join(several, ["position", "bytes"], "left_semi").join(family.select("text_hash", "family"), "text_hash")
+    members = checkpoint(members)
     blocks = F.ceil(F.col("members") / _BLOCK).cast("int")
     left = members.withColumn("block", F.pmod(F.xxhash64("text_hash"), blocks).cast("int")).drop("members")
-    right = members.select("position", "bytes", F.col("text_hash").alias("head"), F.col("n").alias("head_n"), F.col("label").alias("head_label"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    others = left.join(right, ["position", "bytes", "block"]).where("text_hash < head AND label <> head_label").where(near).select("text_hash", "head").distinct()
+    right = members.select("position", "bytes", F.col("text_hash").alias("head"), F.col("n").alias("head_n"), F.col("label").alias("head_label"), F.col("family").alias("head_family"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    others = left.join(right, ["position", "bytes", "block"]).where("text_hash < head AND label <> head_label AND family <> head_family").where(near).select("text_hash", "head").distinct()
     others = checkpoint(others.join(star, ["text_hash", "head"], "left_anti"))
-    reached = connected_components(edges.unionByName(verified(others)))
+    reached = connected_components(edges.unionByName(verified(others)).unionByName(within_families()))
     labelled = texts.join(reached, F.col("text_hash") == F.col("node"), "left").select("text_hash", "first_id", F.coalesce("label", "text_hash").alias("component"))
     return labelled
 

@@ -15,10 +15,9 @@ by a window whose word sequence starts earlier too (smaller doc_id, or earlier i
    every window starts earlier too.  Passages that stay are compared window by window in the same way.
 4. The spans found go back to their bucket, where the words are removed.
 
-The first occurrence of a passage or window is a minimum, combined before the shuffle, and it meets the other occurrences
-by document and place, so no key's occurrences are gathered; a phrase has one row per bucket, or slice of one, in
-a sum.  Texts are shuffled once, to their buckets.  Symbols only propose candidates; the
-decision rests on 64-bit hashes of the words.
+A phrase or passage adds one row per bucket to a shuffle however often the bucket has it; a window that stands in
+different passages adds one for each of these.  Texts are shuffled once, to their buckets.
+Symbols only propose candidates; the decision rests on 64-bit hashes of the words.
 
 Cases: a null or blank text has no words; documents of fewer words than a window stay; null doc_ids
 are the smallest; rows with the same doc_id are ordered by a hash of their text; of repeated rows
@@ -190,29 +189,21 @@ def _passages(docs: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
     return docs.groupBy("bucket").cogroup(phrases.groupBy("bucket")).applyInArrow(locate, _OCCURRENCE + ", windows array<long>")
 
 
-_PLACE = ["has_id", "doc_id", "tie", "start"]
+def _rank(rows: DataFrame, parts: int) -> DataFrame:
+    """``rank`` 1 for the first occurrence of a key; a key has a row per bucket at most."""
+    order = Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_first(), "tie", "start")
+    return rows.repartition(parts, "key").withColumn("rank", F.row_number().over(order))
 
 
-def _told(rows: DataFrame, parts: int) -> DataFrame:
-    """``rows`` with ``is_first``: whether a row is the first occurrence of its key."""
-    rows = rows.withColumn("has_id", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    rows = rows.repartition(parts, "key", *_PLACE)
-    # Always true, asks for all columns and stays above the shuffle (for it has a random term), so that one shuffle serves all readers.
-    every = [F.size(c) if kind.startswith("array") else F.col(c).cast("double") for c, kind in rows.dtypes]
-    rows = rows.where(F.coalesce(F.greatest(F.rand(0), *every), F.lit(0.0)) >= 0)
-    firsts = rows.groupBy("key").agg(F.min(F.struct(*_PLACE)).alias("p")).select("key", "p.*", F.lit(True).alias("is_first"))
-    return rows.join(firsts, ["key", *_PLACE], "left").withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id")))
+def _spans(ranked: DataFrame) -> DataFrame:
+    own = F.when(F.col("rank") > 1, F.array(F.struct("doc_id", "tie", "start", "n"))).otherwise(F.array().cast("array<struct<doc_id: long, tie: long, start: int, n: int>>"))
+    return ranked.select("bucket", F.explode(F.concat(own, "later")).alias("s")).select("bucket", "s.*")
 
 
-def _spans(told: DataFrame) -> DataFrame:
-    own = F.when(F.col("is_first").isNull(), F.array(F.struct("doc_id", "tie", "start", "n"))).otherwise(F.array().cast("array<struct<doc_id: long, tie: long, start: int, n: int>>"))
-    return told.select("bucket", F.explode(F.concat(own, "later")).alias("s")).select("bucket", "s.*")
-
-
-def _windows(told: DataFrame) -> DataFrame:
-    """Windows of the passages that stay."""
-    w = told.where("is_first AND n > 0 AND size(later) >= 0").select("bucket", "doc_id", "tie", "start", F.posexplode("windows").alias("i", "key"))
-    return w.select("key", "bucket", "doc_id", "tie", (F.col("start") + F.col("i")).alias("start"))
+def _windows(ranked: DataFrame) -> DataFrame:
+    """Windows of the passages that stay, one row per bucket and window."""
+    w = ranked.where("rank = 1 AND n > 0 AND size(later) >= 0").select("bucket", "doc_id", "tie", "start", F.posexplode("windows").alias("i", "key"))
+    return w.select("key", "bucket", "doc_id", "tie", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n"), F.array().cast("array<struct<doc_id: long, tie: long, start: int, n: int>>").alias("later"))
 
 
 def _rewrite(docs: DataFrame, spans: DataFrame, window: int, keep_untouched: bool) -> DataFrame:
@@ -269,9 +260,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, bucket_mb: float
     bucket = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.col("tie")), F.lit(buckets)).cast("int")
     d = d.withColumn("bucket", bucket).repartition(parts, "bucket")
     # Both readers of the passages ask for all columns, so that they share one shuffle.
-    passages = _told(_passages(d, _recurring_phrases(d, window), window), parts)
-    windows = _told(_windows(passages), parts).where("is_first IS NULL").select("bucket", "doc_id", "tie", "start", F.lit(1).alias("n"))
-    return _rewrite(d, _spans(passages.where("size(windows) > 0")).unionByName(windows), window, keep_untouched)
+    passages = _rank(_passages(d, _recurring_phrases(d, window), window), parts)
+    windows = _rank(_windows(passages), parts)
+    return _rewrite(d, _spans(passages.where("size(windows) > 0")).unionByName(_spans(windows)), window, keep_untouched)
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
