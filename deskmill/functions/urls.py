@@ -50,13 +50,19 @@ def og_image(page: Column, url: Column) -> Column:
     return F.when(F.startswith(raw, F.lit("//")), F.concat(scheme, F.lit(":"), raw)).when(F.rlike(raw, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://")), raw).when(F.startswith(raw, F.lit("/")), F.concat(origin, raw)).otherwise(F.concat(origin, F.lit("/"), raw))
 
 
-def audit_links(replies: DataFrame, allowed: DataFrame, hosts: list[str]) -> DataFrame:
-    """(message_id, url, verdict) of each link of replies (message_id, reply) against allowed (message_id, url): ok, denied or offsite."""
+def audit_links(replies: DataFrame, allowed: DataFrame, hosts: DataFrame | list[str]) -> DataFrame:
+    """(message_id, url, verdict) of each link of replies (message_id, reply) against allowed (message_id, url): ok, denied or offsite.
+
+    ``hosts``, the site's own, is a list or a frame (host).
+    """
+    if not isinstance(hosts, DataFrame):
+        hosts = replies.sparkSession.createDataFrame([(h,) for h in hosts], "host string")
     links = replies.select("message_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("reply", F.lit(_URL), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")))).alias("url"))
     links = links.withColumn("key", normalize_url(F.col("url"))).withColumn("host", F.regexp_extract("key", "://([^/?]+)", 1))
     ok = allowed.select("message_id", normalize_url(F.col("url")).alias("key")).distinct().withColumn("hit", F.lit(True))
-    out = links.join(ok, ["message_id", "key"], "left")
-    return out.select("message_id", "url", F.when(~F.col("host").isin([h.lower() for h in hosts]), "offsite").when(F.col("hit"), "ok").otherwise("denied").alias("verdict"))
+    own = hosts.select(F.lower("host").alias("host")).distinct().withColumn("own", F.lit(True))
+    out = links.join(ok, ["message_id", "key"], "left").join(own, "host", "left")
+    return out.select("message_id", "url", F.when(F.col("own").isNull(), "offsite").when(F.col("hit"), "ok").otherwise("denied").alias("verdict"))
 
 
 def strip_links(replies: DataFrame, audited: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def activity(sessions: DataFrame, messages: DataFrame, start: Column, end: Colum
     def daily(df: DataFrame, name: str) -> DataFrame:
         return df.where(F.col("date_created").between(start, end)).groupBy(F.to_date("date_created").alias("date")).agg(F.count("*").alias(name))
 
-    spine = sessions.limit(1).select(F.explode(F.sequence(start, end, F.expr("INTERVAL 1 DAY"))).alias("at")).select(F.to_date("at").alias("date"))
+    spine = sessions.sparkSession.range(1).select(F.explode(F.sequence(start, end, F.expr("INTERVAL 1 DAY"))).alias("at")).select(F.to_date("at").alias("date"))
     out = spine.join(daily(sessions, "conversations"), "date", "left").join(daily(messages, "messages"), "date", "left")
     return out.na.fill(0, ["conversations", "messages"])
 
@@ -164,12 +164,14 @@ def handoff_queue(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     return s.join(last, "session_id", "left").join(unread_counts(sessions, messages), "session_id", "left").select("queue", "position", "session_id", "last_message", F.coalesce("unread", F.lit(0)).alias("unread_count"))
 
 
-def badge_counts(sessions: DataFrame, messages: DataFrame, contacts: DataFrame, submissions: DataFrame) -> DataFrame:
-    """Per agent: waiting, own active and unread sessions, and new leads."""
+def badge_counts(sessions: DataFrame, messages: DataFrame, contacts: DataFrame, submissions: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Per agent (of ``agents``, or those of any session): waiting, own active and unread sessions, and new leads."""
     waiting = sessions.agg(F.count_if(F.col("handoff_status") == "requested").alias("waiting"))
     leads = contacts.agg(F.count_if(F.col("status") == "new").alias("c")).crossJoin(submissions.agg(F.count_if(F.col("read_at").isNull()).alias("u"))).select((F.col("c") + F.col("u")).alias("leads"))
     mine = sessions.where("handoff_status = 'active' AND chat_ended_at IS NULL AND handoff_admin_id IS NOT NULL").select(F.col("id").alias("session_id"), F.col("handoff_admin_id").alias("admin_id"))
+    agents = sessions.where("handoff_admin_id IS NOT NULL").select(F.col("handoff_admin_id").alias("admin_id")).distinct() if agents is None else agents.select("admin_id").distinct()
     per = mine.join(unread_counts(sessions, messages), "session_id", "left").groupBy("admin_id").agg(F.count("*").alias("active"), F.sum("unread").alias("unread"))
+    per = agents.join(per, "admin_id", "left").na.fill(0, ["active", "unread"])
     return per.crossJoin(waiting).crossJoin(leads).select("admin_id", "waiting", "active", "unread", (F.col("waiting") + F.col("active")).alias("total"), "leads")
 
 

@@ -85,12 +85,15 @@ def add_urls(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def qa_text(qa: DataFrame, sites: DataFrame, translator=None) -> DataFrame:
-    """Text variants of active QA pairs: pinned to a site, shared, or one per site through ``translator`` (a column function)."""
+    """Text variants of active QA pairs: pinned to a site, shared, or one per site through ``translator`` (a column function).
+
+    A shared pair that is translated has a row for every site: that product is the result asked for.
+    """
     q = qa.where("active").select(F.col("id").alias("source_id"), "site_id", "translate", "question", "answer")
     s = sites.select(F.col("site_id").alias("sid"), "language")
     pinned = q.where("site_id IS NOT NULL").join(s, F.col("site_id") == F.col("sid"), "left").drop("sid")
     shared = q.where("site_id IS NULL AND NOT translate").withColumn("language", F.lit(None).cast("string"))
-    each = q.where("site_id IS NULL AND translate").drop("site_id").join(F.broadcast(s.limit(1000)).withColumnRenamed("sid", "site_id"))
+    each = q.where("site_id IS NULL AND translate").drop("site_id").crossJoin(s.withColumnRenamed("sid", "site_id"))
     if translator:
         each = each.withColumns({c: translator(F.col(c), F.col("language")) for c in ("question", "answer")})
     out = reduce(DataFrame.unionByName, [x.select("source_id", "site_id", "language", "question", "answer") for x in (pinned, shared, each)])

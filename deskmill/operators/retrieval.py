@@ -42,12 +42,13 @@ def _topk_block(rows: list, chunks: DataFrame, pool: int, min_score: float, site
     matrix = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         matrix[i, : len(r["vector"])] = r["vector"]
-    norms = np.sqrt((matrix**2).sum(axis=1))
-    sites = np.array([-1 if r["site_id"] is None else r["site_id"] for r in rows])
-    shared = chunks.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], matrix, norms, sites))
+    norms, widths = np.sqrt((matrix**2).sum(axis=1)), np.array([len(r["vector"]) for r in rows], np.int64)
+    anywhere = np.array([r["site_id"] is None for r in rows], bool)
+    sites = np.array([r["site_id"] or 0 for r in rows])
+    shared = chunks.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], matrix, norms, widths, anywhere, sites))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix, norms, sites = shared.value
+        ids, matrix, norms, widths, anywhere, sites = shared.value
         kept: list[pd.DataFrame] = []
         for batch in batches:
             if not len(batch) or not len(ids):
@@ -56,12 +57,14 @@ def _topk_block(rows: list, chunks: DataFrame, pool: int, min_score: float, site
             for i, x in enumerate(batch["embedding"]):
                 if x is not None:
                     v[i, : min(len(x), v.shape[1])] = x[: v.shape[1]]
-            norm = np.outer(norms, np.sqrt((v**2).sum(axis=1)))
+            # A chunk's norm is over the dimensions of the query.
+            norm = norms[:, None] * np.sqrt(np.cumsum(v**2, axis=1)[:, widths - 1].T)
             score = np.divide(matrix @ v.T, norm, out=np.zeros_like(norm), where=norm > 0)
-            site = batch["site_id"].fillna(-1).to_numpy()
+            shared_chunk = batch["site_id"].isna().to_numpy()
+            site = batch["site_id"].fillna(0).to_numpy()
             ok = (score >= min_score) & (norms > 0)[:, None] & np.array([x is not None and len(x) > 0 for x in batch["embedding"]])
             if site_filter:
-                ok &= (sites[:, None] == -1) | (site == -1) | (site == sites[:, None])
+                ok &= anywhere[:, None] | shared_chunk | (site == sites[:, None])
             qi, ci = np.nonzero(ok)
             kept.append(pd.DataFrame({"q": qi, "chunk_id": batch["id"].to_numpy()[ci], "score": score[qi, ci]}))
             if sum(map(len, kept)) > 4 * pool * len(ids):
@@ -116,6 +119,31 @@ def bm25(candidates: DataFrame, df: DataFrame, totals: DataFrame, k1: float = 1.
     return c.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
 
 
+def scoped_bm25(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, bm25) with the word statistics of each query's own scope: its site's chunks and those of no site, or all.
+
+    Statistics are counted once by stem and site; a scope is the sum of two of them.
+    """
+    s = chunks.where("embedding IS NOT NULL").select("site_id", stems(F.col("content")).alias("stems"))
+    by_site = s.select("site_id", F.explode(F.array_distinct("stems")).alias("stem")).groupBy("stem", "site_id").agg(F.count("*").alias("df"))
+    none = F.col("site_id").isNull()
+    by_stem = by_site.groupBy("stem").agg(F.sum("df").alias("df_all"), F.coalesce(F.sum(F.when(none, F.col("df"))), F.lit(0)).alias("df_none"))
+    own = by_site.where("site_id IS NOT NULL").select("stem", F.col("site_id").alias("scope"), "df")
+    sizes = s.groupBy("site_id").agg(F.count("*").alias("docs"), F.sum(F.size("stems")).alias("words"))
+    totals = sizes.agg(*(F.coalesce(F.sum(F.when(only, F.col(c))), F.lit(0)).alias(f"{c}_{name}") for c in ("docs", "words") for name, only in (("all", F.lit(True)), ("none", none))))
+    site_totals = sizes.where("site_id IS NOT NULL").select(F.col("site_id").alias("scope"), F.col("docs").alias("docs_own"), F.col("words").alias("words_own"))
+    scopes = queries.select("query_id", F.col("site_id").alias("scope")).join(site_totals, "scope", "left").crossJoin(totals)
+
+    def scoped(name: str) -> Column:
+        return F.when(F.col("scope").isNull(), F.col(f"{name}_all")).otherwise(F.coalesce(f"{name}_own", F.lit(0)) + F.col(f"{name}_none"))
+
+    scopes = scopes.select("query_id", "scope", scoped("docs").alias("docs"), scoped("words").alias("words"))
+    c = candidates.join(scopes, "query_id").join(by_stem, "stem", "left").join(own.withColumnRenamed("df", "df_own"), ["stem", "scope"], "left").na.fill(0, ["df_all", "df_none"])
+    df, average = scoped("df"), F.greatest(F.lit(1e-9), F.when(F.col("docs") > 0, F.col("words") / F.col("docs")).otherwise(1.0))
+    part = F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
+    return c.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+
+
 def rrf_fuse(cosine_pool: DataFrame, lexical: DataFrame, rrf_k: int = 60, k: int = 30) -> DataFrame:
     """(query_id, chunk_id, score, fused, rank): reciprocal ranks of both orders summed.
 
@@ -136,12 +164,13 @@ def rrf_fuse(cosine_pool: DataFrame, lexical: DataFrame, rrf_k: int = 60, k: int
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 30, min_score: float = 0.0, hybrid: bool = True, site_filter: bool = True, min_pool: int = 100) -> DataFrame:
-    """Best chunks of every query by cosine and BM25, fused; word statistics are those of all chunks."""
+    """Best chunks of every query by cosine and BM25, fused; word statistics are those of the query's scope."""
     pool = max(k, min_pool)
     near = vector_topk(queries, chunks, pool, min_score, site_filter)
     if not hybrid:
         return near.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", F.lit(None).cast("double").alias("fused"), "rank")
-    words = bm25(lexical_candidates(queries, chunks, pool, site_filter), *corpus_stats(chunks))
+    found = lexical_candidates(queries, chunks, pool, site_filter)
+    words = scoped_bm25(found, queries, chunks) if site_filter else bm25(found, *corpus_stats(chunks))
     # Only the pool's chunks carry their vectors along.
     words = words.join(chunks.select(F.col("id").alias("chunk_id"), "embedding"), "chunk_id").join(queries.select("query_id", "vector"), "query_id")
     words = words.select("query_id", "chunk_id", "bm25", cosine(F.col("vector"), F.col("embedding")).alias("score"))

@@ -119,8 +119,9 @@ def e14_unread_counts(s, m):
 
 
 @query(f"""+{_UNREAD}, w_ AS (SELECT count(*) AS waiting FROM sessions WHERE handoff_status='requested'), n_ AS (SELECT (SELECT count(*) FROM contacts WHERE status='new')+(SELECT count(*) FROM submissions WHERE read_at IS NULL) AS leads),
- a_ AS (SELECT handoff_admin_id AS admin_id, count(*) AS active, CAST(sum(unread) AS BIGINT) AS unread FROM sessions JOIN unread_ ON id=session_id WHERE handoff_status='active' AND chat_ended_at IS NULL GROUP BY 1)
- SELECT admin_id, waiting, active, unread, waiting+active AS total, leads FROM a_, w_, n_""", "sessions", "messages", "contacts", "submissions")
+ a_ AS (SELECT handoff_admin_id AS admin_id, count(*) AS active, CAST(sum(unread) AS BIGINT) AS unread FROM sessions JOIN unread_ ON id=session_id WHERE handoff_status='active' AND chat_ended_at IS NULL GROUP BY 1),
+ g_ AS (SELECT DISTINCT handoff_admin_id AS admin_id FROM sessions WHERE handoff_admin_id IS NOT NULL)
+ SELECT admin_id, waiting, coalesce(active,0) AS active, coalesce(unread,0) AS unread, waiting+coalesce(active,0) AS total, leads FROM g_ LEFT JOIN a_ USING (admin_id), w_, n_""", "sessions", "messages", "contacts", "submissions")
 def e14_badge_counts(s, m, c, f):
     return C.badge_counts(s, m, c, f)
 

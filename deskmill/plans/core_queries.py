@@ -25,13 +25,21 @@ def query(sql: str | None, *names: str):
     return add
 
 
-@query("SELECT id, CASE WHEN length(trim(content))<2 THEN 'too_short' WHEN length(trim(content))>300 THEN 'too_long' WHEN contains(lower(content),'schst') OR contains(lower(content),'enow') THEN 'blocked_word' END AS reason FROM messages WHERE NOT regexp_matches(content, '[^ ]{7}')", "messages")
+#: The gibberish rule over messages, step by step.
+_NOISE = r"""+n1_ AS (SELECT id, trim(coalesce(content,''), ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS t FROM messages),
+n2_ AS (SELECT *, list_filter(list_transform(string_split_regex(t, '\s+'), lambda x: regexp_replace(regexp_replace(x, '^\p{P}+', ''), '\p{P}+$', '')), lambda x: x<>'' AND NOT regexp_matches(x, '\p{N}') AND NOT (length(x)<=5 AND x=upper(x))) AS ws FROM n1_),
+n3_ AS (SELECT *, lower(regexp_replace(array_to_string(ws, ' '), '[^\p{L}]+', '', 'g')) AS l FROM n2_),
+n4_ AS (SELECT *, length(l) AS n, length(regexp_replace(l, '[^aeiouy]', '', 'g')) AS v, len(list_distinct(string_split(l, ''))) AS kinds FROM n3_),
+noise_ AS (SELECT id, t, CASE WHEN t='' THEN true WHEN length(t)<4 THEN false WHEN NOT regexp_full_match(t, '[\p{Latin}\s\p{P}\p{N}]+') THEN false WHEN NOT regexp_matches(t, '[\p{L}\p{N}]') THEN true WHEN n=0 THEN false
+ ELSE (n>=6 AND (v<0.15*n OR v>0.85*n)) OR regexp_matches(l, '[bcdfghjklmnpqrstvwxz]{7,}') OR len(list_filter(range(1, n-4), lambda i: l[i:i+5]=repeat(l[i], 6)))>0 OR (n>=12 AND (kinds<=3 OR kinds<0.2*n)) OR (length(t)>=40 AND NOT regexp_matches(t, '\s')) END AS gibberish FROM n4_)"""
+
+
+@query(_NOISE + " SELECT id, CASE WHEN length(t)<2 THEN 'too_short' WHEN length(t)>300 THEN 'too_long' WHEN contains(lower(t),'schst') OR contains(lower(t),'enow') THEN 'blocked_word' WHEN gibberish THEN 'gibberish' END AS reason FROM noise_", "messages")
 def f2_filter_messages(m):
-    kept = m.where(~F.rlike("content", F.lit("[^ ]{7}")))
-    return M.filter_messages(kept, max_length=300, blocked_words=("schst", "enow")).select("id", F.when(F.col("reason") != "gibberish", F.col("reason")).alias("reason"))
+    return M.filter_messages(m, max_length=300, blocked_words=("schst", "enow")).select("id", "reason")
 
 
-@query(None, "messages")
+@query(_NOISE + " SELECT id, gibberish FROM noise_", "messages")
 def f1_is_gibberish(m):
     return m.select("id", M.is_gibberish(F.col("content")).alias("gibberish"))
 
@@ -129,9 +137,10 @@ def b6_strip_repeated_lines(d):
     return T.strip_repeated_lines(d)
 
 
-@query("SELECT page_id, regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1) AS title FROM pages WHERE NOT contains(html, '&')", "pages")
+@query("""+t_ AS (SELECT page_id, url, html, trim(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')) AS t FROM pages)
+SELECT page_id, CASE WHEN NOT regexp_matches(html, '(?is)<title\\b[^>]*>.*?</title>') THEN url ELSE replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') END AS title FROM t_""", "pages")
 def b4_page_title(p):
-    return p.where(~F.contains("html", F.lit("&"))).select("page_id", T.page_title(F.col("html"), F.col("url")).alias("title"))
+    return p.select("page_id", T.page_title(F.col("html"), F.col("url")).alias("title"))
 
 
 _WORDS = "list_transform(list_filter(regexp_split_to_array(strip_accents(lower({t})), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w)>=2), lambda w: substring(w,1,5))"
@@ -146,10 +155,11 @@ def d1_stems(c):
     return c.select("id", T.stems(F.col("content")).alias("stems"))
 
 
-@query(f"SELECT q.query_id, c.id AS chunk_id, round({_COS},6) AS score FROM queries q JOIN chunks c ON c.id%20=q.query_id%20", "queries", "chunks")
+@query(f"SELECT q.query_id, c.id AS chunk_id, round({_COS},6) AS score FROM chunks c JOIN queries q ON q.query_id = c.id % (SELECT count(*) FROM queries)", "queries", "chunks")
 def d2_cosine(q, c):
-    j = q.join(c, F.col("id") % 20 == F.col("query_id") % 20)
-    return j.select("query_id", F.col("id").alias("chunk_id"), F.round(R.cosine(F.col("vector"), F.col("embedding")), 6).alias("score"))
+    """Every chunk with one query: a list of pairs as long as the table of chunks."""
+    pairs = c.withColumn("query_id", F.col("id") % q.agg(F.count("*").alias("n")).scalar()).join(q.select("query_id", "vector"), "query_id")
+    return pairs.select("query_id", F.col("id").alias("chunk_id"), F.round(R.cosine(F.col("vector"), F.col("embedding")), 6).alias("score"))
 
 
 _TOP = f"top_ AS (SELECT query_id, id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.query_id, c.id, {_COS} AS score FROM queries q, chunks c WHERE {_SITE}) WHERE score>=0)"
@@ -176,13 +186,14 @@ def c9_corpus_stats(c):
     return R.corpus_stats(c)[0]
 
 
-_BM = """df_ AS (SELECT stem, count(*) AS df FROM ix_ GROUP BY stem), tot_ AS (SELECT count(*) AS docs, sum(len(ws))/count(*)::DOUBLE AS average FROM st_),
-bm_ AS (SELECT query_id, chunk_id, sum(ln(1+(docs-df+0.5::DOUBLE)/(df+0.5::DOUBLE))*tf*2.2::DOUBLE/(tf+1.2::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*length/average))) AS bm25 FROM lex_ JOIN df_ USING (stem), tot_ GROUP BY query_id, chunk_id)"""
+_BM = f"""df_ AS (SELECT q.query_id, c.stem, count(*) AS df FROM qs_ q JOIN ix_ c ON q.stem=c.stem AND {_SITE} GROUP BY q.query_id, c.stem),
+tot_ AS (SELECT q.query_id, count(*) AS docs, sum(len(ws))/count(*)::DOUBLE AS average FROM queries q JOIN st_ c ON {_SITE} GROUP BY q.query_id),
+bm_ AS (SELECT query_id, chunk_id, sum(ln(1+(docs-df+0.5::DOUBLE)/(df+0.5::DOUBLE))*tf*2.2::DOUBLE/(tf+1.2::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*length/average))) AS bm25 FROM lex_ JOIN df_ USING (query_id, stem) JOIN tot_ USING (query_id) GROUP BY query_id, chunk_id)"""
 
 
 @query(f"+{_INDEX.replace("{pool}", "20")}, {_BM} SELECT query_id, chunk_id, round(bm25,6) AS bm25 FROM bm_", "queries", "chunks")
 def d5_bm25(q, c):
-    return R.bm25(R.lexical_candidates(q, c, 20), *R.corpus_stats(c)).withColumn("bm25", F.round("bm25", 6))
+    return R.scoped_bm25(R.lexical_candidates(q, c, 20), q, c).withColumn("bm25", F.round("bm25", 6))
 
 
 _FUSE = f"""a_ AS (SELECT query_id, chunk_id, score FROM top_ WHERE rank<=100), l_ AS (SELECT b.query_id, b.chunk_id, bm25, {_COS} AS s FROM bm_ b JOIN queries q USING (query_id) JOIN chunks c ON c.id=b.chunk_id WHERE query_id IN (SELECT query_id FROM a_)),

@@ -66,9 +66,9 @@ def e19_normalize_url(p):
 
 
 @query("""+l AS (SELECT page_id AS message_id, url, regexp_extract(url,'^[a-z]+://([^/?#:]+)',1) AS host FROM pages)
-SELECT message_id, url, CASE WHEN host NOT IN (SELECT regexp_extract(url,'^[a-z]+://([^/?#:]+)',1) FROM pages WHERE page_id<20) THEN 'offsite' WHEN message_id%2=0 THEN 'ok' ELSE 'denied' END AS verdict FROM l""", "pages")
+SELECT message_id, url, CASE WHEN host NOT IN (SELECT regexp_extract(url,'^[a-z]+://([^/?#:]+)',1) FROM pages WHERE contains(url, '.com')) THEN 'offsite' WHEN message_id%2=0 THEN 'ok' ELSE 'denied' END AS verdict FROM l""", "pages")
 def e20_audit_links(p):
-    hosts = [r.h for r in p.where("page_id < 20").select(F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("h")).collect()]
+    hosts = p.where(F.contains("url", F.lit(".com"))).select(F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("host")).distinct()
     replies = p.select(F.col("page_id").alias("message_id"), F.concat(F.lit("See "), "url", F.lit(" there.")).alias("reply"))
     allowed = p.where("page_id % 2 = 0").select(F.col("page_id").alias("message_id"), "url")
     return audit_links(replies, allowed, hosts)

@@ -27,8 +27,8 @@ _VIEWS = {
     "bans": """SELECT DISTINCT concat('10.0.', CAST(user_id%7 AS {STR}), '.', CAST(user_id%5 AS {STR})) AS ip, CASE WHEN user_id%7=0 THEN NULL ELSE {TS:(user_id%5)*259200} END AS expires_at FROM {events} WHERE user_id%7 IN (0,3)""",
     "chunks": """SELECT d.doc_id AS id, CASE d.doc_id%3 WHEN 0 THEN 'file' WHEN 1 THEN 'url' ELSE 'entry' END AS source_type, d.doc_id AS source_id,
   CASE WHEN d.doc_id%5=0 THEN NULL WHEN d.lang='en' THEN 1 WHEN d.lang='fr' THEN 2 WHEN d.lang='de' THEN 3 ELSE 4 END AS site_id,
-  d.lang AS language, 0 AS position, d.text AS content, e.embedding AS embedding FROM {documents} d JOIN {embeddings} e ON e.vec_id=d.doc_id""",
-    "queries": """SELECT b.item_id AS query_id, b.text AS text, CASE WHEN b.item_id%5=0 THEN NULL ELSE b.item_id%5 END AS site_id, e.embedding AS vector FROM {benchmark} b JOIN {embeddings} e ON e.vec_id=(b.item_id*7+3)%200""",
+  d.lang AS language, 0 AS position, d.text AS content, e.embedding AS embedding FROM (SELECT *, doc_id%(SELECT count(*) FROM {embeddings}) AS v FROM {documents}) d JOIN {embeddings} e ON e.vec_id=d.v""",
+    "queries": """SELECT b.item_id AS query_id, b.text AS text, CASE WHEN b.item_id%5=0 THEN NULL ELSE b.item_id%5 END AS site_id, e.embedding AS vector FROM (SELECT *, (item_id*7+3)%(SELECT count(*) FROM {embeddings}) AS v FROM {benchmark}) b JOIN {embeddings} e ON e.vec_id=b.v""",
     "elements": """SELECT p_partkey AS id, p_name AS title, p_brand AS section, 1+p_partkey%4 AS site_id, CASE WHEN p_partkey%11=0 THEN 'disabled' ELSE 'live' END AS status,
   {TS:(p_partkey*37%1000)*3600} AS date_updated, CASE WHEN p_partkey%97=0 THEN {TS:3600000} END AS date_deleted FROM {part}""",
     "tracked": """SELECT p_partkey+500000 AS id, CASE WHEN p_partkey%101=0 THEN -p_partkey ELSE p_partkey END AS element_id, 1+p_partkey%4 AS site_id,
