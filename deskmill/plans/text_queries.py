@@ -15,6 +15,7 @@ from deskmill.operators.records import labelled_text, validate_submissions
 from deskmill.plans.core_queries import query as _query
 from deskmill.plans import core_queries
 from deskmill.plans.views import view
+from deskmill.sources.chunks import chunk_rows
 from deskmill.sources.files import page_text
 
 query = _query
@@ -35,6 +36,11 @@ def a7_vector_round_trip(e):
     return e.select("vec_id", unpack_vector(pack_vector(F.col("embedding"))).alias("embedding"))
 
 
+@query("SELECT source_type, source_id, site_id, position, content, CAST(ceil(length(content)/4.0) AS BIGINT) AS tokens, CAST(4*len(embedding) AS INTEGER) AS bytes FROM chunks", "chunks")
+def a8_chunk_rows(c):
+    return chunk_rows(c).withColumn("bytes", F.octet_length("vector")).drop("vector")
+
+
 @query(None, "pages")
 def b3_normalize_text(p):
     return p.select("page_id", T.normalize_text(F.col("html")).alias("text"))

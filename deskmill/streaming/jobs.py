@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskmill.operators.moderation import active_bans
+from deskmill.operators.moderation import banned_filter
 
 
 def stream_activity(messages: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -28,9 +28,13 @@ def stream_suggestions(clicks: DataFrame) -> DataFrame:
     return clicks.groupBy("suggestion").agg(F.count("*").alias("clicks"), F.max("ts").alias("last_clicked_at"))
 
 
-def stream_bans(messages: DataFrame, bans: DataFrame, now) -> DataFrame:
-    """Messages of ips that are not banned; the ban table is read again for every micro-batch."""
-    return messages.join(active_bans(bans, now).select("ip"), "ip", "left_anti")
+def stream_bans(messages: DataFrame, load_bans: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint_path: str):
+    """Messages of ips that are not banned: every micro-batch loads the bans anew, compares them with its own time and is given to ``write``."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        write(banned_filter(batch, load_bans(), F.current_timestamp()), batch_id)
+
+    return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
 
 
 def stream_rate_limit(messages: DataFrame, window: int = 60, limit: int = 12, ip_factor: int = 3) -> DataFrame:

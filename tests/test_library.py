@@ -27,8 +27,8 @@ def one(spark, column, *values):
 
 
 def test_gibberish(spark):
-    good = ["DSC 6370 SMALL?", "RC2 vs RC3", "90x197 L", "привет", "abc", "where is the door", "€ + $"]
-    bad = ["", "asdfghjklqwrtp", "aaaeeei", "!!!!", "x" * 41, "hhhhhhh"]
+    good = ["lamp A77 WIDE?", "V4 or V5", "12x340 M", "добрый", "xyz", "how do I open this box", "£ = ¥"]
+    bad = ["", "qwrtpsdfgklz", "eeeiiia", "????", "y" * 41, "kkkkkkk"]
     assert one(spark, M.is_gibberish, *good) == [False] * len(good)
     assert one(spark, M.is_gibberish, *bad) == [True] * len(bad)
 
@@ -194,5 +194,63 @@ def test_streams_equal_batch(spark, tmp_path):
     got = run_stream(spark, a, lambda s: jobs.stream_rate_limit(s, 86400, 3), str(tmp_path / "limit"))
     assert sorted(map(tuple, got)) == sorted(map(tuple, M.rate_limit(a, 86400, 3).collect()))
     days = {r.date: r.messages for r in m.groupBy(F.to_date("date_created").alias("date")).agg(F.count("*").alias("messages")).collect()}
-    got = {r.date: r.messages for r in run_stream(spark, m, lambda s: jobs.stream_activity(s, "30 days"), str(tmp_path / "days"), "append")}
+    got = {r.date: r.messages for r in run_stream(spark, m, lambda s: jobs.stream_activity(s, "1 hour"), str(tmp_path / "days"), "append")}
+    assert set(got) == {d for d in days if d < max(days)}
     assert all(days[d] == n for d, n in got.items())
+
+
+def test_chunk_table(spark, tmp_path):
+    from deskmill.sources.chunks import read_chunks, write_chunks
+
+    rows = [("url", 1, 2, 0, "abcde", [1.0, 0.5]), ("file", 1, None, 1, "", None)]
+    c = spark.createDataFrame(rows, "source_type string, source_id long, site_id long, position int, content string, embedding array<float>")
+    write_chunks(c, str(tmp_path / "t"))
+    got = sorted((tuple(r) for r in read_chunks(spark, str(tmp_path / "t")).collect()), key=str)
+    assert got == sorted([("url", 1, 2, 0, "abcde", 2, [1.0, 0.5]), ("file", 1, None, 1, "", 0, None)], key=str)
+    write_chunks(c.limit(0), str(tmp_path / "t"))
+    assert read_chunks(spark, str(tmp_path / "t")).count() == 2
+
+
+def test_vectors_of_mixed_widths_and_two_sites(spark):
+    from deskmill.operators import retrieval as R
+
+    q = spark.createDataFrame([(1, None, "aa bb", [1.0, 0.0]), (2, -1, "aa", [0.0, 0.0, 1.0]), (3, 5, "aa bb", [1.0])], "query_id long, site_id long, text string, vector array<float>")
+    c = spark.createDataFrame([(1, None, "aa aa bb", [1.0, 0.0, 1.0]), (2, 5, "aa cc", [2.0]), (3, -1, "bb", [0.0, 3.0, 4.0])], "id long, site_id long, content string, embedding array<float>")
+    pairs = q.crossJoin(c.withColumnRenamed("site_id", "c_site")).where("site_id IS NULL OR c_site IS NULL OR site_id = c_site")
+    want = sorted((r.query_id, r.id, round(r.s, 9)) for r in pairs.select("query_id", "id", R.cosine(F.col("vector"), F.col("embedding")).alias("s")).collect())
+    got = sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in R.vector_topk(q, c).collect())
+    assert got == want and (1, 1, 1.0) in got
+
+    def bm25(scope, stems, chunk):
+        import math
+
+        texts = [x for x in (("aa aa bb", None), ("aa cc", 5), ("bb", -1)) if scope is None or x[1] in (None, scope)]
+        average = sum(len(t.split()) for t, _ in texts) / len(texts)
+        words, total = chunk.split(), 0.0
+        for s in stems:
+            df, tf = sum(s in t.split() for t, _ in texts), words.count(s)
+            if tf:
+                total += math.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / average))
+        return round(total, 9)
+
+    got = {(r.query_id, r.chunk_id): round(r.bm25, 9) for r in R.scoped_bm25(R.lexical_candidates(q, c), q, c).collect()}
+    assert got == {(1, 1): bm25(None, ["aa", "bb"], "aa aa bb"), (1, 2): bm25(None, ["aa", "bb"], "aa cc"), (1, 3): bm25(None, ["aa", "bb"], "bb"), (2, 1): bm25(-1, ["aa"], "aa aa bb"), (3, 1): bm25(5, ["aa", "bb"], "aa aa bb"), (3, 2): bm25(5, ["aa", "bb"], "aa cc")}
+
+
+def test_bans_are_loaded_for_every_batch(spark, tmp_path):
+    source, kept, bans = str(tmp_path / "in"), [], {"ips": ["1"]}
+    schema = "id long, ip string"
+
+    def load():
+        return spark.createDataFrame([(ip, None) for ip in bans["ips"]], "ip string, expires_at timestamp")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.stream_bans(stream, load, lambda batch, i: kept.extend(r.id for r in batch.collect()), str(tmp_path / "c")).awaitTermination()
+
+    spark.createDataFrame([(1, "1"), (2, "2")], schema).write.parquet(source)
+    run()
+    bans["ips"] = ["2"]
+    spark.createDataFrame([(3, "1"), (4, "2")], schema).write.mode("append").parquet(source)
+    run()
+    assert kept == [2, 3]
