@@ -50,6 +50,13 @@ def index_health(tracked: DataFrame, elements: DataFrame, standalone: DataFrame
     return out.where("problem IS NOT NULL")
 
 
+def index_totals(health: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row with the number of problems, of chunks, and of chunks whose vector is still JSON only (``vector_json`` without ``vector``)."""
+    problems = health.agg(F.count("*").alias("problems"))
+    held = chunks.agg(F.count("*").alias("chunks"), F.count_if(F.col("vector_json").isNotNull() & F.col("vector").isNull()).alias("legacy_vectors"))
+    return problems.crossJoin(held)  # one row each
+
+
 def untrained_by_section(live: DataFrame, tracked: DataFrame) -> DataFrame:
     return live.join(tracked.select(F.col("element_id").alias("entry_id"), "site_id").distinct(), ["entry_id", "site_id"], "left_anti").groupBy("section").agg(F.count("*").alias("missing"))
 

@@ -94,6 +94,12 @@ def c4_index_health(t, e):
     return I.index_health(t, e)
 
 
+@query(f"+{_HEALTH} SELECT (SELECT count(*) FROM h_ WHERE problem IS NOT NULL) AS problems, count(*) AS chunks, count(*) FILTER (WHERE source_type='file') AS legacy_vectors FROM chunks", "tracked", "elements", "chunks")
+def c4_index_totals(t, e, c):
+    text = F.when(F.col("source_type") == "file", F.to_json("embedding"))  # files still have JSON vectors
+    return I.index_totals(I.index_health(t, e), c.select(text.alias("vector_json"), F.when(F.col("source_type") != "file", F.col("embedding")).alias("vector")))
+
+
 @query("SELECT section, count(*) AS missing FROM elements e WHERE status='live' AND NOT EXISTS (SELECT 1 FROM tracked t WHERE t.element_id=e.id AND t.site_id=e.site_id) GROUP BY section", "elements", "tracked")
 def c5_untrained_by_section(e, t):
     return I.untrained_by_section(e.where("status = 'live'").withColumnRenamed("id", "entry_id"), t)

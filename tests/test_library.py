@@ -254,3 +254,12 @@ def test_bans_are_loaded_for_every_batch(spark, tmp_path):
     spark.createDataFrame([(3, "1"), (4, "2")], schema).write.mode("append").parquet(source)
     run()
     assert kept == [2, 3]
+
+
+def test_index_totals(spark):
+    from deskmill.operators.index import index_totals
+
+    chunks = spark.createDataFrame([("[1.0]", None), ("[1.0]", b"x"), (None, b"x"), (None, None)], "vector_json string, vector binary")
+    health = spark.createDataFrame([("entry", 1, "stale")], "kind string, id long, problem string")
+    assert index_totals(health, chunks).first() == (1, 4, 1)
+    assert index_totals(health.limit(0), chunks.limit(0)).first() == (0, 0, 0)
