@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import queries_matching, queries_models, queries_native
+from deskmill.llm import queries_audit, queries_matching, queries_models, queries_native
 from deskmill.llm.common import shared_folder, table
 
 
@@ -37,5 +37,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_components(fingerprints(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_substring_dedup, op6_packing, op9_simhash)} | queries_native.QUERIES | queries_matching.QUERIES | queries_models.QUERIES
-ORACLES: dict[str, str] = {**queries_native.ORACLES}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_substring_dedup, op6_packing, op9_simhash)} | queries_native.QUERIES | queries_matching.QUERIES | queries_models.QUERIES | queries_audit.QUERIES
+ORACLES: dict[str, str] = {**queries_native.ORACLES, **queries_audit.ORACLES}
