@@ -1,7 +1,7 @@
 """Filter interaction audit: what each of five filters removes in every order, kept up to date by a stream.
 
-Documents come as available-now micro-batches.  Each text is a key of the stream's state, which holds the
-smallest id seen with it and the rows of that id.  A row is counted under the mask of the filters that it
+Documents come as available-now micro-batches.  Texts are keys of the stream's state (by digest, in buckets of about
+a thousand), which holds the smallest id seen with each and the rows of that id.  A row is counted under the mask of the filters that it
 fails; when a smaller id arrives with the same text, the rows of the former smallest id are copies from then
 on, so their earlier masks are taken back from the counters of their part and counted anew.  Each micro-batch
 adds its changes as one small table of counters per part and mask; a repeated micro-batch overwrites its own.
@@ -23,12 +23,12 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import permutations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +37,21 @@ from deskmill.llm.common import SPACE_CLASS, SPACES, shared_folder
 FILTERS = "ABCDE"
 _BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 _COUNTS = "part string, mask int, flags int, n long"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ROW = ["bucket", "digest", "mask", "known", "part", "flags"]
+_HELD = ["digest", "mask", "part", "flags", "low", "at"]
+_TYPES = {"digest": pa.string(), "mask": pa.int32(), "part": pa.string(), "flags": pa.int32(), "low": pa.int64(), "at": pa.int64()}
+#: State lies on the executors' disks and as changes in the checkpoint; small stores don't reserve space.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+def audit_table(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4, texts_per_bucket: int = 1024) -> DataFrame:
+    """``audit_orders`` of the whole table of documents at ``path``."""
+    buckets = -(-max(1, spark.read.parquet(path).count()) // texts_per_bucket)
+    return audit_orders(count_masks(stream_table(spark, path, batches), labels, buckets))
 
 
 def stream_table(spark: SparkSession, path: str, batches: int = 4) -> DataFrame:
@@ -67,75 +81,89 @@ def failed_filters(text: Column) -> Column:
 
 def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of one text, part and label in one: the smallest id, how many rows have it, and how many have a larger one."""
-    key = ["digest", "mask", "known", "part", "flags"]
     for rows in batches:
-        if not len(rows):
-            continue
-        low = rows.groupby(key, sort=False)["doc_id"].transform("min")
-        rows = rows.assign(low=low, at=(rows["doc_id"] == low).astype("int64"), above=(rows["doc_id"] != low).astype("int64"))
-        yield rows.groupby(key, sort=False, as_index=False).agg({"low": "first", "at": "sum", "above": "sum"})
+        if len(rows):
+            low = rows.groupby(_ROW, sort=False)["doc_id"].transform("min")
+            rows = rows.assign(low=low, at=(rows["doc_id"] == low).astype("int64"), above=(rows["doc_id"] != low).astype("int64"))
+            yield rows.groupby(_ROW, sort=False, as_index=False).agg({"low": "first", "at": "sum", "above": "sum"})
+
+
+def _counted(rows: pd.DataFrame, n: pd.Series, copy: bool) -> pd.DataFrame:
+    mask = rows["mask"] | _BIT["E"] if copy else rows["mask"]
+    return pd.DataFrame({"part": rows["part"], "mask": mask, "flags": rows["flags"], "n": n})
+
+
+def _retract(held: pd.DataFrame, new: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows that have the smallest id of their text after ``new`` rows, and the changes of the counters.
+
+    ``held`` are such rows before (digest, mask, part, flags, low, at); those that a smaller id displaces are taken back.
+    """
+    nameless = new[~new["known"]]
+    new = new[new["known"]]
+    rows = pd.concat([held.assign(above=0, old=True), new.drop(columns=["known", "bucket"]).assign(old=False)], ignore_index=True)
+    least = rows["low"] == rows.groupby("digest", sort=False)["low"].transform("min")
+    old = rows["old"].astype(bool)
+    out, fresh, late = rows[old & ~least], rows[~old & least], rows[~old & ~least]
+    changes = pd.concat([
+        _counted(nameless, nameless["at"] + nameless["above"], False),
+        _counted(out, -out["at"], False), _counted(out, out["at"], True),
+        _counted(fresh, fresh["at"], False), _counted(fresh, fresh["above"], True),
+        _counted(late, late["at"] + late["above"], True),
+    ])
+    held = rows[least].groupby(["digest", "mask", "part", "flags", "low"], sort=False, as_index=False)["at"].sum()
+    return held[_HELD], changes.groupby(["part", "mask", "flags"], sort=False, as_index=False)["n"].sum()
 
 
 def _retracting(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Changes of the counters by the new rows of one text; the state is its smallest id and the rows that have it."""
-    low, held = None, Counter()
+    """Changes of the counters by the new rows of one bucket of texts; the state is the bucket's rows with the smallest ids."""
     if state.exists:
-        low, parts, flags, n = state.get
-        held = Counter(dict(zip(zip(parts, flags), n)))  # noqa: B905
-    change: Counter = Counter()
-    copy = _BIT["E"]
+        held = pa.ipc.open_stream(state.get[0]).read_pandas()
+    else:
+        held = pd.DataFrame({c: pd.Series(dtype="object" if c in ("digest", "part") else "int64") for c in _HELD})
     for rows in batches:
-        for mask, known, part, flag, id_, at, above in zip(*(rows[c].tolist() for c in ("mask", "known", "part", "flags", "low", "at", "above")), strict=True):
-            who = (part, flag)
-            if not known:
-                change[who, mask] += at + above
-                continue
-            change[who, mask | copy] += above
-            if low is not None and id_ > low:
-                change[who, mask | copy] += at
-                continue
-            if low is not None and id_ < low:
-                for former, n in held.items():
-                    change[former, mask] -= n
-                    change[former, mask | copy] += n
-                held = Counter()
-            low = id_
-            held[who] += at
-            change[who, mask] += at
-    if low is not None:
-        state.update((low, [p for p, _ in held], [f for _, f in held], list(held.values())))
-    out = [(part, mask, flag, n) for ((part, flag), mask), n in change.items() if n]
-    yield pd.DataFrame(out, columns=["part", "mask", "flags", "n"])
+        held, changes = _retract(held, rows)
+        yield changes[changes["n"] != 0]
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_arrays([pa.array(held[c], _TYPES[c]) for c in _HELD], _HELD)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    state.update((sink.getvalue().to_pybytes(),))
 
 
 @contextmanager
-def _setting(spark: SparkSession, name: str, value: str):
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def count_masks(stream: DataFrame, labels: DataFrame) -> DataFrame:
-    """(part, mask, n, good, toxic) of a finite stream of documents (doc_id, text, lang) and labels (doc_id, quality, toxic)."""
+def count_masks(stream: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+    """(part, mask, n, good, toxic) of a finite stream of documents (doc_id, text, lang) and labels (doc_id, quality, toxic).
+
+    Texts are keyed by digest in ``buckets`` of the state: about a thousand texts in each are worked at once.
+    """
     spark = stream.sparkSession
     one = lambda c: F.coalesce(F.max(F.when(F.col(c) == 1, 1)), F.lit(0))
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), "quality", "toxic").where("_id IS NOT NULL").groupBy("_id").agg((one("quality") + 2 * one("toxic")).alias("flags"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = stream.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.sha2(text, 256).alias("digest"), failed_filters(text).alias("mask"))
     rows = rows.join(known.hint("merge"), F.col("_doc") == F.col("_id"), "left")
-    rows = rows.select("digest", "mask", F.col("_doc").isNotNull().alias("known"), F.coalesce("_doc", F.lit(0)).alias("doc_id"), "part", F.coalesce("flags", F.lit(0)).alias("flags"))
-    rows = rows.mapInPandas(_combined, "digest string, mask int, known boolean, part string, flags int, low long, at long, above long")
-    changes = rows.groupBy("digest").applyInPandasWithState(_retracting, _COUNTS, "low long, parts array<string>, flags array<int>, n array<long>", "append", "NoTimeout")
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")
+    rows = rows.select(bucket, "digest", "mask", F.col("_doc").isNotNull().alias("known"), F.coalesce("_doc", F.lit(0)).alias("doc_id"), "part", F.coalesce("flags", F.lit(0)).alias("flags"))
+    rows = rows.mapInPandas(_combined, "bucket long, digest string, mask int, known boolean, part string, flags int, low long, at long, above long")
+    changes = rows.groupBy("bucket").applyInPandasWithState(_retracting, _COUNTS, "held binary", "append", "NoTimeout")
     folder = shared_folder(spark, "filter-audit")
 
     def add(batch: DataFrame, batch_id: int) -> None:
         batch.groupBy("part", "mask", "flags").agg(F.sum("n").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/counters/batch={batch_id}")
 
     spark.createDataFrame([], _COUNTS).coalesce(1).write.parquet(f"{folder}/counters/batch=-1")
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", _ROCKS):
+    with _settings(spark, _STORE):
         query = changes.writeStream.foreachBatch(add).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     counts = spark.read.schema(_COUNTS).parquet(f"{folder}/counters")

@@ -9,9 +9,9 @@ from deskmill.llm.common import table
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from deskmill.llm.filter_audit import audit_orders, count_masks, stream_table
+    from deskmill.llm.filter_audit import audit_table
 
-    return audit_orders(count_masks(stream_table(spark, f"{sf_dir}/documents.parquet"), table(spark, sf_dir, "labels")))
+    return audit_table(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
 
 _RUN = "[\\x20\\x09-\\x0D]+"

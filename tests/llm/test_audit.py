@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from deskmill.llm.byte_cnn import CHUNK, Network, chunk_places, cut_chunks, document_score, fit, predict, train
 from deskmill.llm.centroids import lloyd
-from deskmill.llm.filter_audit import audit_orders, count_masks, stream_table
+from deskmill.llm.filter_audit import audit_table
 from deskmill.llm.queries_audit import ORACLES, QUERIES, op12_quality_classifier
 from tests.oracle import compare
 
@@ -70,9 +70,8 @@ def audit(spark, folder, files, labels, batches):
     schema = "doc_id long, text string, lang string, mask string, part string, flags string"
     for i, rows in enumerate(files):
         spark.createDataFrame([(*r, "x", "y", "z") for r in rows], schema).coalesce(1).write.mode("append").parquet(f"{folder}/docs.parquet")
-    stream = stream_table(spark, f"{folder}/docs.parquet", batches)
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("n", F.lit("?"))
-    rows = audit_orders(count_masks(stream, table)).collect()
+    rows = audit_table(spark, f"{folder}/docs.parquet", table, batches, texts_per_bucket=4).collect()
     return {(r.part, r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley) for r in rows}
 
 
@@ -147,14 +146,15 @@ def test_quality_on_held_out_documents(spark):
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, "good words here", "a"), (2, "%%% ### %%%", "b"), (3, None, "c"), (4, "", "d"), (None, "x", "e"), (5, "words " * 100_000, "f"), (1, "good words here", "a"), (6, "한글 \U0001f600", "g")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (4, None), (5, 7), (None, 1)], "doc_id long, quality int")
-    rows = docs.join(labels, "doc_id")
-    got = predict(docs, train(rows)).collect()
+    got = predict(docs, train(docs, labels)).collect()
     assert len(got) == 8 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert len({r.score for r in got if r.doc_id == 1}) == 1
-    one = train(rows.where("quality = 1"))
+    one = train(docs, labels.where("quality = 1"))
     assert all(r.score > 0.99 for r in predict(docs, one).collect())
-    assert all(r.score == 0.5 for r in predict(docs, train(rows.limit(0))).collect())
+    assert all(r.score == 0.5 for r in predict(docs, train(docs, labels.limit(0))).collect())
     assert predict(docs.limit(0), one).count() == 0
+    absent = spark.createDataFrame([(77, 0), (78, 1)], "doc_id long, quality int")
+    assert all(r.score == 0.5 for r in predict(docs, train(docs, absent)).collect())
 
 
 # Centroids
