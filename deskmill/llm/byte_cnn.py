@@ -13,7 +13,8 @@ labelled rows asks, so that the score is a probability.  Scoring reads whole doc
 pieces of a fixed number of chunks, with the weights broadcast (0.1 MB).
 
 Cases: a null or empty text has one chunk of padding, and so a score; documents without label, id or with a label
-other than 0 and 1 don't train; an id labelled both ways counts once as each; with labels of one class only the score
+other than 0 and 1 don't train; an id labelled both ways counts once as each; of documents that repeat an id one trains,
+the one with the least bytes; labels of absent documents take places of the sample; with labels of one class only the score
 is that class's share, and without any it is 0.5; repeated rows are scored each; very long texts are worked in
 pieces; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
@@ -111,17 +112,25 @@ def fit(chunks: np.ndarray, sizes: np.ndarray, doc: np.ndarray, label: np.ndarra
     return net
 
 
-def train(rows: DataFrame, sample_per_class: int = 2000, train_chunks: int = 8) -> Network:
-    """The network for labelled documents (doc_id, text, quality)."""
-    rows = rows.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("quality").cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+def _constant(labels) -> Network:
+    """A network that gives every document the share of label 1 among ``labels``: one value, or none."""
+    offset = 0.0 if not labels else 50.0 if 1 in labels else -50.0
+    return Network(np.zeros((1, 256, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), offset)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 2000, train_chunks: int = 8) -> Network:
+    """The network for documents (doc_id, text) and labels (doc_id, quality).
+
+    The sample is drawn from the labels; its ids (2 x ``sample_per_class`` at most) go to the documents, no text is shuffled.
+    """
+    rows = labels.select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").distinct()
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
-        share = 0.5 if not sizes else float(next(iter(sizes)))
-        return Network(np.zeros((1, 256, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), {0.0: -50.0, 0.5: 0.0, 1.0: 50.0}[share])
+        return _constant(sizes)
     # Rows under a share of the hash range that leaves about the wanted number, then exactly that many at most.
     share = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, min(1.0, 1.2 * sample_per_class / n))])
     rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("label")])
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "text"))).where(F.col("rank") <= sample_per_class)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= sample_per_class)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +145,11 @@ def train(rows: DataFrame, sample_per_class: int = 2000, train_chunks: int = 8)
                     out.append((chunks.tobytes(), n.tolist()))
                 yield pa.RecordBatch.from_arrays([part["id"], part["label"], pa.array([x for x, _ in out], pa.binary()), pa.array([n for _, n in out], pa.list_(pa.int32()))], ["id", "label", "chunks", "sizes"])
 
-    found = rows.select("id", "label", "text").mapInArrow(cut, "id string, label int, chunks binary, sizes array<int>").collect()
+    texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows.select("id", "label")), "id")
+    one = texts.select("id", "label", "text").mapInArrow(cut, "id string, label int, chunks binary, sizes array<int>").groupBy("id", "label").agg(F.min(F.struct("chunks", "sizes")).alias("c"))
+    found = one.select("id", "label", "c.*").collect()
+    if len({r["label"] for r in found}) < 2:
+        return _constant({r["label"] for r in found})
     found.sort(key=lambda r: (r["id"], r["label"]))
     chunks = np.frombuffer(b"".join(r["chunks"] for r in found), np.uint8).reshape(-1, CHUNK)
     label = np.array([r["label"] for r in found])

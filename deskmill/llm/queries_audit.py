@@ -56,7 +56,7 @@ def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
-    network = train(docs.where(~held_out).join(labels, "doc_id"))
+    network = train(docs.where(~held_out), labels.where(~held_out))
     return predict(docs, network).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
