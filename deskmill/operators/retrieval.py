@@ -1,7 +1,7 @@
 """Hybrid retrieval of many queries over many chunks.
 
 Vectors are never shuffled: the query side is broadcast as a matrix in blocks of a fixed size and each
-partition of chunks gives its best rows only.  The lexical side is an inverted index joined on stems.
+partition of chunks gives its best rows only.  The lexical side is an inverted index (``postings``) with a threshold stop.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskmill.functions.text import stems
+from deskmill.operators.postings import LexicalIndex, lexical_index, search
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -81,13 +82,6 @@ def _best_rows(rows: pd.DataFrame, pool: int) -> pd.DataFrame:
     return rows[rows.groupby("q").cumcount() < pool]
 
 
-def chunk_stems(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """(chunk_id, site_id, stem, tf, length): the inverted index of chunks that have a vector."""
-    s = chunks.where("embedding IS NOT NULL").select(F.col("id").alias("chunk_id"), "site_id", stems(F.col(text)).alias("stems"))
-    s = s.select("chunk_id", "site_id", F.greatest(F.lit(1), F.size("stems")).alias("length"), F.explode("stems").alias("stem"))
-    return s.groupBy("chunk_id", "site_id", "length", "stem").agg(F.count("*").alias("tf"))
-
-
 def corpus_stats(chunks: DataFrame, site_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Document frequencies (stem, df) and totals (docs, total_length) over chunks with a vector in a site's scope."""
     c = chunks.where("embedding IS NOT NULL")
@@ -98,16 +92,13 @@ def corpus_stats(chunks: DataFrame, site_id: int | None = None) -> tuple[DataFra
     return df, s.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("stems")), F.lit(0)).alias("total_length"))
 
 
-def lexical_candidates(queries: DataFrame, chunks: DataFrame, pool: int = 100, site_filter: bool = True) -> DataFrame:
+def lexical_candidates(queries: DataFrame, chunks: DataFrame | LexicalIndex, pool: int = 100, site_filter: bool = True) -> DataFrame:
     """(query_id, chunk_id, stem, tf, length) of the chunks that share most with a query, by matched stems plus relative frequency."""
-    q = queries.select("query_id", F.col("site_id").alias("q_site"), F.explode(F.array_distinct(stems(F.col("text")))).alias("stem"))
-    hits = q.join(chunk_stems(chunks), "stem")
-    if site_filter:
-        hits = hits.where(F.col("q_site").isNull() | F.col("site_id").isNull() | (F.col("q_site") == F.col("site_id")))
-    per = hits.groupBy("query_id", "chunk_id").agg((F.count("*") + F.sum(F.col("tf") / F.col("length"))).alias("proxy"), F.collect_list(F.struct("stem", "tf", "length")).alias("terms"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("proxy", 9)), "chunk_id")
-    per = per.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool)
-    return per.select("query_id", "chunk_id", F.explode("terms").alias("t")).select("query_id", "chunk_id", "t.*")
+    return search(queries, _indexed(chunks, queries), pool, site_filter)
+
+
+def _indexed(chunks: DataFrame | LexicalIndex, queries: DataFrame) -> LexicalIndex:
+    return chunks if isinstance(chunks, LexicalIndex) else lexical_index(chunks, queries)
 
 
 def bm25(candidates: DataFrame, df: DataFrame, totals: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -119,17 +110,17 @@ def bm25(candidates: DataFrame, df: DataFrame, totals: DataFrame, k1: float = 1.
     return c.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
 
 
-def scoped_bm25(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def scoped_bm25(candidates: DataFrame, queries: DataFrame, chunks: DataFrame | LexicalIndex, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, bm25) with the word statistics of each query's own scope: its site's chunks and those of no site, or all.
 
     Statistics are counted once by stem and site; a scope is the sum of two of them.
     """
-    s = chunks.where("embedding IS NOT NULL").select("site_id", stems(F.col("content")).alias("stems"))
-    by_site = s.select("site_id", F.explode(F.array_distinct("stems")).alias("stem")).groupBy("stem", "site_id").agg(F.count("*").alias("df"))
+    index = _indexed(chunks, queries)
+    by_site = index.frequencies()
     none = F.col("site_id").isNull()
     by_stem = by_site.groupBy("stem").agg(F.sum("df").alias("df_all"), F.coalesce(F.sum(F.when(none, F.col("df"))), F.lit(0)).alias("df_none"))
     own = by_site.where("site_id IS NOT NULL").select("stem", F.col("site_id").alias("scope"), "df")
-    sizes = s.groupBy("site_id").agg(F.count("*").alias("docs"), F.sum(F.size("stems")).alias("words"))
+    sizes = index.sizes
     totals = sizes.agg(*(F.coalesce(F.sum(F.when(only, F.col(c))), F.lit(0)).alias(f"{c}_{name}") for c in ("docs", "words") for name, only in (("all", F.lit(True)), ("none", none))))
     site_totals = sizes.where("site_id IS NOT NULL").select(F.col("site_id").alias("scope"), F.col("docs").alias("docs_own"), F.col("words").alias("words_own"))
     scopes = queries.select("query_id", F.col("site_id").alias("scope")).join(site_totals, "scope", "left").crossJoin(totals)
@@ -169,8 +160,9 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 30, min_score:
     near = vector_topk(queries, chunks, pool, min_score, site_filter)
     if not hybrid:
         return near.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", F.lit(None).cast("double").alias("fused"), "rank")
-    found = lexical_candidates(queries, chunks, pool, site_filter)
-    words = scoped_bm25(found, queries, chunks) if site_filter else bm25(found, *corpus_stats(chunks))
+    index = lexical_index(chunks, queries)
+    found = lexical_candidates(queries, index, pool, site_filter)
+    words = scoped_bm25(found, queries, index) if site_filter else bm25(found, *corpus_stats(chunks))
     # Only the pool's chunks carry their vectors along.
     words = words.join(chunks.select(F.col("id").alias("chunk_id"), "embedding"), "chunk_id").join(queries.select("query_id", "vector"), "query_id")
     words = words.select("query_id", "chunk_id", "bm25", cosine(F.col("vector"), F.col("embedding")).alias("score"))
