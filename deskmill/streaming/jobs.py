@@ -37,48 +37,6 @@ def stream_bans(messages: DataFrame, load_bans: Callable[[], DataFrame], write:
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
 
 
-def stream_rate_limit(messages: DataFrame, window: int = 60, limit: int = 12, ip_factor: int = 3) -> DataFrame:
-    """(id, accepted) by ip; the state is the accepted stamps in the window, 36 per ip at most by default."""
-    window_us = window * 1_000_000
-    us = F.unix_micros(F.to_timestamp_ltz("ts"))
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        sessions, stamps = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(batches)).sort_values(["us", "id"])
-        verdicts = []
-        for session, now in zip(rows["session"], rows["us"], strict=True):
-            live = [i for i, t in enumerate(stamps) if t >= now - window_us]
-            sessions, stamps = [sessions[i] for i in live], [stamps[i] for i in live]
-            ok = sessions.count(session) < limit and len(stamps) < limit * ip_factor
-            if ok:
-                sessions.append(session)
-                stamps.append(now)
-            verdicts.append(ok)
-        state.update((sessions, stamps))
-        yield pd.DataFrame({"id": rows["id"].to_numpy(), "accepted": verdicts})
-
-    rows = messages.select("id", "session", "ip", us.alias("us"))
-    return rows.groupBy("ip").applyInPandasWithState(fold, "id long, accepted boolean", "sessions array<long>, stamps array<long>", "append", "NoTimeout")
-
-
-def stream_streak(messages: DataFrame, floor: float = 0.35, threshold: int = 2) -> DataFrame:
-    """(message_id, streak, offer_human) by session; the state is one number."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (streak,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(batches)).sort_values("id")
-        out = []
-        for id_, confidence in zip(rows["id"], rows["confidence"], strict=True):
-            low = not confidence >= floor  # a missing confidence is low
-            streak = streak + 1 if low else 0
-            out.append((id_, streak, streak >= threshold))
-        state.update((streak,))
-        yield pd.DataFrame(out, columns=["message_id", "streak", "offer_human"])
-
-    judged = messages.where("role = 'bot' AND context_chunks IS NOT NULL").select("session_id", "id", "confidence")
-    return judged.groupBy("session_id").applyInPandasWithState(fold, "message_id long, streak long, offer_human boolean", "streak long", "append", "NoTimeout")
-
-
 def stream_reindex(changes: DataFrame, reindex, index_path: str, checkpoint_path: str):
     """Keep an index table up to date: per micro-batch the last version of each source is passed to
     ``reindex(batch, batch_id)``, which writes the new chunks; repeated batches give the same table."""
