@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deskmill.functions.html_region import html_region
+from deskmill.functions.tables import stored
 from deskmill.functions.text import normalize_text, page_title
 
 EXTENSIONS = ("txt", "md", "docx")
@@ -55,16 +56,48 @@ def page_text(pages: DataFrame, region: bool = False, selector: str = "", strip_
     return pages.select("url", page_title(F.col("html"), F.col("url")).alias("title"), normalize_text(body).alias("text"))
 
 
+_SITEMAP = "url array<struct<loc: string>>, sitemap array<struct<loc: string>>"
+#: Places of own URLs lie after those of all children.
+_OWN = 1 << 40
+
+
+def parsed_sitemaps(sitemaps: DataFrame) -> DataFrame:
+    """(sitemap_url, urls, children): addresses of (sitemap_url, xml) in their order; none of what isn't XML."""
+    x = sitemaps.select("sitemap_url", F.from_xml("xml", _SITEMAP, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}).alias("x"))
+    locs = lambda c: F.filter(F.transform(F.coalesce(c, F.array()), lambda e: F.btrim(e["loc"], F.lit(" \t\r\n"))), lambda u: F.coalesce(u, F.lit("")) != "")
+    return x.select("sitemap_url", locs(F.col("x.url")).alias("urls"), locs(F.col("x.sitemap")).alias("children"))
+
+
+def sitemap_places(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, path): every sitemap below a root at its first place, as the positions on the way to it.
+
+    A frontier goes down one level a round along ``edges`` (parent, position, child); only the least path to a node is kept and
+    followed, so neither cycles nor sitemaps with several parents multiply.  Rounds end when no path is new or less than before.
+    """
+    edges = stored(edges, "sitemap-edges")
+    start = roots.select(F.col("sitemap_url").alias("root"), F.col("sitemap_url").alias("node"), F.array().cast("array<bigint>").alias("path")).distinct()
+    known = frontier = stored(start, "sitemap-places")
+    while True:
+        step = frontier.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), F.concat("path", F.array("position")).alias("path"))
+        step = step.groupBy("root", "node").agg(F.min("path").alias("path"))
+        before = known.withColumnRenamed("path", "before")
+        frontier = stored(step.join(before, ["root", "node"], "left").where("before IS NULL OR path < before").select("root", "node", "path"), "sitemap-frontier")
+        if frontier.isEmpty():
+            return known
+        known = stored(known.unionByName(frontier).groupBy("root", "node").agg(F.min("path").alias("path")), "sitemap-places")
+
+
 def sitemap_urls(sitemaps: DataFrame, cap: int = 500) -> DataFrame:
-    """(sitemap_url, position, url) of sitemaps (sitemap_url, xml): an index's children first, then its own URLs, each once."""
-    def locs(kind: str):
-        return F.xpath("xml", F.lit(f"//*[local-name()='{kind}']/*[local-name()='loc']/text()"))
-
-    ok = sitemaps.where(F.contains("xml", F.lit("<loc")) & F.rlike("xml", F.lit(r"</([A-Za-z0-9]+:)?(urlset|sitemapindex)>")))
-    own = ok.select("sitemap_url", F.posexplode(locs("url")).alias("i", "url"))
-    children = ok.select("sitemap_url", F.posexplode(locs("sitemap")).alias("c", "child"))
-    nested = children.withColumn("child", F.btrim("child")).join(own.select(F.col("sitemap_url").alias("child"), "i", "url"), "child").select("sitemap_url", F.lit(0).alias("own"), "c", "i", "url")
-    every = nested.unionByName(own.select("sitemap_url", F.lit(1).alias("own"), F.lit(0).alias("c"), "i", "url")).withColumn("url", F.btrim("url"))
-    once = every.where("url <> ''").groupBy("sitemap_url", "url").agg(F.min(F.struct("own", "c", "i")).alias("at"))
-    w = Window.partitionBy("sitemap_url").orderBy("at")
-    return once.withColumn("position", F.row_number().over(w)).where(F.col("position") <= cap).select("sitemap_url", "position", "url")
+    """(sitemap_url, position, url) of sitemaps (sitemap_url, xml): of an index all children's URLs first, however deep, then its own.
+
+    Each URL stands at its first place, and each sitemap counts at its first; what a cycle leads back to, what isn't XML and
+    children that aren't there give nothing.
+    """
+    p = stored(parsed_sitemaps(sitemaps), "sitemaps")
+    edges = p.select(F.col("sitemap_url").alias("parent"), F.posexplode("children").alias("position", "child")).withColumn("position", F.col("position").cast("long"))
+    known = edges.join(p.select(F.col("sitemap_url").alias("child")), "child", "left_semi").groupBy("parent", "child").agg(F.min("position").alias("position"))
+    own = p.select(F.col("sitemap_url").alias("node"), F.posexplode("urls").alias("i", "url"))
+    places = sitemap_places(known, p).join(own, "node").select("root", "url", F.concat("path", F.array(F.col("i") + F.lit(_OWN))).alias("place"))
+    once = places.groupBy("root", "url").agg(F.min("place").alias("place"))
+    w = Window.partitionBy("root").orderBy("place")
+    return once.withColumn("position", F.row_number().over(w)).where(F.col("position") <= cap).select(F.col("root").alias("sitemap_url"), "position", "url")
