@@ -1,10 +1,13 @@
-"""Queries of sources: nested sitemaps made of the pages' addresses."""
+"""Queries of sources: nested sitemaps made of the pages' addresses, and the table of chunks."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from deskmill.functions.tables import shared_path
 from deskmill.plans.core_queries import ORACLES, QUERIES
+from deskmill.plans.views import view
+from deskmill.sources.chunks import read_chunks, replace_chunks, write_chunks
 from deskmill.sources.files import sitemap_urls
 
 #: Sitemaps over the pages: ``root`` is an index of ten indexes, each of which is an index of five lists, lists some pages of its
@@ -48,3 +51,17 @@ place AS (SELECT root, url, min(list_append(path, CAST(i + 1099511627776 AS BIGI
 r AS (SELECT root, url, row_number() OVER (PARTITION BY root ORDER BY spot) AS position FROM place)
 SELECT root AS sitemap_url, CAST(position AS INTEGER) AS position, url FROM r WHERE position <= 500
 """
+
+
+def c1_replace_in_table(spark, sf_dir):
+    """The table of all chunks is written, then every fourth source is replaced in its own folders."""
+    path = shared_path(spark, "chunks")
+    c = view(spark, sf_dir, "chunks")
+    write_chunks(c, path, "overwrite")
+    touched = c.where("source_id % 4 = 1")
+    replace_chunks(touched.where("source_id % 8 = 1").withColumn("content", F.upper("language")), touched, path)
+    return read_chunks(spark, path).select("source_type", "source_id", "content")
+
+
+QUERIES["c1_replace_in_table"] = c1_replace_in_table
+ORACLES["c1_replace_in_table"] = ORACLES["c1_replace_source_chunks"]

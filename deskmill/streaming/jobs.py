@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +34,3 @@ def stream_bans(messages: DataFrame, load_bans: Callable[[], DataFrame], write:
         write(banned_filter(batch, load_bans(), F.current_timestamp()), batch_id)
 
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
-
-
-def stream_reindex(changes: DataFrame, reindex, index_path: str, checkpoint_path: str):
-    """Keep an index table up to date: per micro-batch the last version of each source is passed to
-    ``reindex(batch, batch_id)``, which writes the new chunks; repeated batches give the same table."""
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("source_type", "source_id").agg(F.max_by(F.struct(*batch.columns), "version").alias("r")).select("r.*")
-        reindex(last.where("NOT draft"), batch_id)
-
-    return changes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint_path).option("path", index_path).trigger(availableNow=True).start()
