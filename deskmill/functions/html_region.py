@@ -13,43 +13,47 @@ from pyspark.sql import functions as F
 #: Tags, selectors and names that tell content from chrome (fixed values).
 NEVER_CONTENT = ("script", "style", "noscript", "template", "svg", "iframe")
 CHROME_TAGS = ("nav", "header", "footer", "aside", "form", "button", "select")
-CHROME_WORDS = "nav navbar navigation menu topbar header footer sidebar aside cookie consent gdpr banner breadcrumb breadcrumbs social share newsletter subscribe popup modal offcanvas skip-link pagination widget".split()
+CHROME_NAMES = re.compile(r"(^|[-_ ])(nav|navbar|navigation|menu|topbar|header|footer|sidebar|aside|cookie|consent|gdpr|banner|breadcrumbs?|social|share|newsletter|subscribe|popup|modal|offcanvas|skip-link|pagination|widget)([-_ ]|$)", re.IGNORECASE)
 FALLBACKS = ("main", "[role=main]", "article", "#content", "#main")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_CHROME = re.compile(rf"(?:^|[-_ ])(?:{'|'.join(CHROME_WORDS)})(?:[-_ ]|$)", re.IGNORECASE)
 _STEP = re.compile(r"([a-zA-Z][a-zA-Z0-9-]*)?((?:[#.][\w-]+|\[[\w-]+(?:=[\"']?[^\]\"']*[\"']?)?\])*)")
 _BIT = re.compile(r"[#.][\w-]+|\[[\w-]+(?:=[\"']?[^\]\"']*[\"']?)?\]")
 
 
+#: What a node is; a page is rendered up to one of these.
+CONTENT, CHROME, NEVER = range(3)
+
+
 class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.kind = NEVER if tag in NEVER_CONTENT else CHROME if tag in CHROME_TAGS else CONTENT
 
     def walk(self):
+        """Nodes below this one in the order of the page, without those that never are content."""
         for c in self.children:
-            if isinstance(c, Node):
+            if isinstance(c, Node) and c.kind != NEVER:
                 yield c
                 yield from c.walk()
 
-    def text(self) -> str:
-        return "".join(c.text() if isinstance(c, Node) else c for c in self.children)
-
-    def html(self) -> str:
-        inner = "".join(c.html() if isinstance(c, Node) else html.escape(c, quote=False) for c in self.children)
-        if not self.tag:
-            return inner
-        head = "".join(f' {k}="{html.escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{head}>" + ("" if self.tag in _VOID else f"{inner}</{self.tag}>")
+    def names(self) -> str | None:
+        return f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}" if {"class", "id"} & self.attrs.keys() else None
 
-    def drop(self, wanted) -> None:
-        kept = []
+    def rendered(self, upto: int) -> tuple[str, str]:
+        """HTML and text of this node and of those below it that are of the kind ``upto`` or nearer to content."""
+        marked, plain = [], []
         for c in self.children:
-            if isinstance(c, Node):
-                if wanted(c):
-                    continue
-                c.drop(wanted)
-            kept.append(c)
-        self.children = kept
+            if isinstance(c, str):
+                marked.append(html.escape(c, quote=False))
+                plain.append(c)
+            elif c.kind <= upto:
+                for out, part in zip((marked, plain), c.rendered(upto), strict=True):
+                    out.append(part)
+        inner = "".join(marked)
+        if self.tag:
+            head = "".join(f' {k}="{html.escape(v)}"' for k, v in self.attrs.items())
+            inner = f"<{self.tag}{head}>" + ("" if self.tag in _VOID else f"{inner}</{self.tag}>")
+        return inner, "".join(plain)
 
 
 class _Tree(HTMLParser):
@@ -115,28 +119,29 @@ def first_match(root: Node, selectors: str) -> Node | None:
 
 
 def region(page: str, selector: str = "", strip_chrome: bool = True) -> str:
-    """HTML of one page's content; near-total loss by the chrome pass is undone."""
+    """HTML of one page's content.
+
+    Nodes are marked as content, chrome or neither, and the region is rendered from the marks with and without chrome; where
+    hardly any text is left without it, the chrome was none.  Names count as marks only where no region was found.
+    """
     if not page.strip():
         return page
     tree = _Tree()
     tree.feed(page)
     tree.close()
     body = next((n for n in tree.root.walk() if n.tag == "body"), tree.root)
-    body.drop(lambda n: n.tag in NEVER_CONTENT)
-    found = first_match(body, selector if selector else ",".join(FALLBACKS))
-    scope = found or body
+    scope = first_match(body, selector or ",".join(FALLBACKS))
+    if scope is None:
+        scope = body
+        for node in body.walk():
+            if CHROME_NAMES.search(node.names() or ""):
+                node.kind = CHROME
+    full, full_text = scope.rendered(CHROME)
     if not strip_chrome:
-        return scope.html()
-
-    def size() -> int:
-        return len(re.sub(r"\s+", " ", scope.text()).strip())
-
-    safe, before = scope.html(), size()
-    scope.drop(lambda n: n.tag in CHROME_TAGS)
-    if found is None:
-        scope.drop(lambda n: ("class" in n.attrs or "id" in n.attrs) and bool(_CHROME.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}")))
-    after = size()
-    return safe if before and (after < 40 or after < 0.02 * before) else scope.html()
+        return full
+    lean, lean_text = scope.rendered(CONTENT)
+    had, left = (len(" ".join(t.split())) for t in (full_text, lean_text))
+    return lean if not had or left >= max(40, 0.02 * had) else full
 
 
 def html_region(page: Column, selector: str = "", strip_chrome: bool = True) -> Column:

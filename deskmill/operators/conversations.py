@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deskmill.functions.tables import stored
+
 TALK = ("user", "bot", "admin")
 
 
@@ -155,12 +157,29 @@ def unread_counts(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     return s.join(u, "session_id", "left").groupBy("session_id").agg(F.count_if(F.col("date_created").isNotNull() & new).alias("unread"))
 
 
+def ranked(df: DataFrame, group: str, *order: Column) -> DataFrame:
+    """``df`` with ``position`` from 1 in each ``group`` by ``order``, which must leave no ties; no task sees a whole group.
+
+    Rows are dealt out by ranges of (group, order) and sorted there; a row's position is its place in its range plus the rows
+    of its group in the ranges before, of which there is one count per range and group.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    dealt = stored(dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranked")
+    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(group, "_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = dealt.join(F.broadcast(counts), [group, "_range"])  # a row per range and group
+    return out.withColumn("position", (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int")).drop("_range", "_at", "_first", "_before")
+
+
 def handoff_queue(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """Waiting and active sessions in the order agents see them, with the last message and unread count."""
     last = messages.groupBy("session_id").agg(F.substring(F.max_by("content", "id"), 1, 80).alias("last_message"))
     s = sessions.withColumn("queue", F.when(F.col("handoff_status") == "requested", "waiting").when((F.col("handoff_status") == "active") & F.col("chat_ended_at").isNull(), "active")).where("queue IS NOT NULL")
-    order = Window.partitionBy("queue").orderBy(F.desc("starred"), F.when(F.col("queue") == "waiting", F.col("handoff_requested_at")).asc_nulls_first(), F.when(F.col("queue") == "active", F.col("handoff_started_at")).desc_nulls_last(), F.when(F.col("queue") == "active", -F.col("id")).otherwise(F.col("id")))
-    s = s.select("queue", F.row_number().over(order).alias("position"), F.col("id").alias("session_id"))
+    waiting, active = F.col("queue") == "waiting", F.col("queue") == "active"
+    s = s.select("queue", F.col("id").alias("session_id"), "starred", F.when(waiting, F.col("handoff_requested_at")).alias("_asked"), F.when(active, F.col("handoff_started_at")).alias("_begun"), F.when(active, -F.col("id")).otherwise(F.col("id")).alias("_id"))
+    s = ranked(s, "queue", F.col("starred").desc(), F.col("_asked").asc_nulls_first(), F.col("_begun").desc_nulls_last(), F.col("_id").asc()).select("queue", "position", "session_id")
     return s.join(last, "session_id", "left").join(unread_counts(sessions, messages), "session_id", "left").select("queue", "position", "session_id", "last_message", F.coalesce("unread", F.lit(0)).alias("unread_count"))
 
 
@@ -214,10 +233,15 @@ def contact_list(contacts: DataFrame, sessions: DataFrame, status: str = "", pag
 
 
 def resolve_site(df: DataFrame, url_col: str, sites: DataFrame) -> DataFrame:
-    """``df`` with the site whose base URL is the longest prefix of the page URL; sites are few rows of settings."""
-    base = F.rtrim(F.col("base_url"), F.lit("/"))
-    urls = df.select(F.col(url_col).alias("_url")).distinct()
-    found = urls.join(sites.select("site_id", base.alias("_base")), F.startswith("_url", F.col("_base"))).groupBy("_url").agg(F.max_by("site_id", F.struct(F.length("_base"), -F.col("site_id"))).alias("site_id"))
+    """``df`` with the site whose base URL is the longest prefix of the page URL, the smaller id of equal ones; blank bases fit nothing.
+
+    Every URL is cut at the lengths that base URLs have (settings, few), so that prefixes meet bases by an equi-join.
+    """
+    bases = sites.select("site_id", F.rtrim(F.col("base_url"), F.lit("/")).alias("_base")).where("_base <> ''").groupBy("_base").agg(F.min("site_id").alias("site_id"))
+    lengths = [r["n"] for r in bases.select(F.length("_base").alias("n")).distinct().collect()]
+    cuts = F.array(*(F.substring("_url", 1, n) for n in lengths)).cast("array<string>")
+    urls = df.select(F.col(url_col).alias("_url")).distinct().select("_url", F.explode(F.array_distinct(cuts)).alias("_base"))
+    found = urls.join(bases, "_base").groupBy("_url").agg(F.max_by("site_id", F.length("_base")).alias("site_id"))
     return df.join(found, F.col(url_col) == F.col("_url"), "left").drop("_url")
 
 

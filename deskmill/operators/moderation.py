@@ -86,6 +86,20 @@ def rate_limit(messages: DataFrame, window: int = 60, limit: int = 12, ip_factor
     return rows.mapInPandas(fold, "id long, accepted boolean")
 
 
+def filter_and_limit(messages: DataFrame, window: int = 60, limit: int = 12, ip_factor: int = 3, **settings) -> DataFrame:
+    """``filter_messages`` of (id, session, ip, ts, ...), and ``rate_limit`` as the last reason.
+
+    A message that another reason rejects isn't sent, so it doesn't count against the limit; a window or limit of 0, or
+    a switched-off filter, sets none.
+    """
+    judged = filter_messages(messages, **settings)
+    if window <= 0 or limit <= 0 or not settings.get("enabled", True):
+        return judged
+    fast = rate_limit(judged.where("reason IS NULL").select("id", "session", "ip", "ts"), window, limit, ip_factor).where("NOT accepted").select("id", F.lit("rate_limit").alias("_fast"))
+    out = judged.join(fast, "id", "left").withColumn("reason", F.coalesce("reason", "_fast")).drop("_fast")
+    return out.withColumn("ok", F.col("reason").isNull())
+
+
 def parse_duration(token: Column) -> Column:
     """Seconds of 1h, 7d, 2w, 90; null for ever; 0 for nothing or nonsense."""
     t = F.lower(F.btrim(F.coalesce(token, F.lit("")), F.lit(" \t\n\r\0\x0b")))

@@ -39,6 +39,14 @@ def f2_filter_messages(m):
     return M.filter_messages(m, max_length=300, blocked_words=("schst", "enow")).select("id", "reason")
 
 
+@query(None, "messages", "sessions")
+def f2_filter_and_limit(m, s):
+    """Users' messages of each address, at most one in two minutes of a session and three of an address."""
+    sent = m.where("role = 'user'").join(s.select(F.col("id").alias("session_id"), "ip"), "session_id")
+    sent = sent.select("id", F.col("session_id").alias("session"), "ip", F.col("date_created").alias("ts"), "content")
+    return M.filter_and_limit(sent, 120, 1, max_length=300, blocked_words=("schst", "enow")).select("id", "reason")
+
+
 @query(_NOISE + " SELECT id, gibberish FROM noise_", "messages")
 def f1_is_gibberish(m):
     return m.select("id", M.is_gibberish(F.col("content")).alias("gibberish"))

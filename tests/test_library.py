@@ -26,11 +26,23 @@ def one(spark, column, *values):
     return [r.y for r in df.select("i", column(F.col("x")).alias("y")).orderBy("i").collect()]
 
 
-def test_gibberish(spark):
-    good = ["lamp A77 WIDE?", "V4 or V5", "12x340 M", "добрый", "xyz", "how do I open this box", "£ = ¥"]
-    bad = ["", "qwrtpsdfgklz", "eeeiiia", "????", "y" * 41, "kkkkkkk"]
-    assert one(spark, M.is_gibberish, *good) == [False] * len(good)
-    assert one(spark, M.is_gibberish, *bad) == [True] * len(bad)
+def test_gibberish_at_its_thresholds(spark):
+    def judged(*texts):
+        return one(spark, M.is_gibberish, *texts)
+
+    assert judged("", " \n", None) == [True] * 3 and judged("q", "qq", "qqq") == [False] * 3
+    # Vowels: 15 % and 85 % of six letters or more.
+    word = lambda consonants, vowels: ("bcd" * 40)[:consonants] + ("aei" * 40)[:vowels]
+    assert judged(*(word(5 - v, v) for v in range(6))) == [False] * 6
+    assert judged(word(6, 0), word(6, 1), word(5, 1), word(1, 5), word(1, 6), word(0, 6)) == [True, True, False, False, True, True]
+    # Consonants and equal letters in a row: seven and six.
+    vowel = "aeio" * 3
+    assert judged("a" + "bcdfgh" + vowel, "a" + "bcdfghj" + vowel) == [False, True]
+    assert judged("bcd" + "o" * 5 + "bcdf", "bcd" + "o" * 6 + "bcdf") == [False, True]
+    # Forty characters without a space, other scripts, numbers, and marks only.
+    long = "banished" * 5
+    assert judged(long[:39], long, long[:20] + " " + long[20:]) == [False, True, False]
+    assert judged("жжжжжжжж", "1234 5678", "!!!!", "AB1 XYZ") == [False, False, True, False]
 
 
 def test_durations(spark):
@@ -45,7 +57,7 @@ def test_smalltalk_and_stems(spark):
 
 def test_text_cleaning(spark):
     assert one(spark, T.normalize_text, "<h2>T</h2>\n<p>x &amp; y</p>", "<ul><li>a<li>b</ul>", "plain &lt;b&gt;", None) == ["## T\n\nx & y", "- a\n- b", "plain <b>", None]
-    assert T.denoise_text("A\r\nBack to top\r\na\nThe cookies we back to top use\n\n\n\nA b​") == "A\nThe cookies we back to top use\n\nA b"
+    assert one(spark, T.denoise, "A\r\nBack to top\r\na\nThe cookies we back to top use\n\n\n\nA\u00a0b\u200b", "\n \t\nx\n\n\nX\nx\rx\n\u2003y \x07z\n\n", "", None) == ["A\nThe cookies we back to top use\n\nA b", "x\n\nX\ny z", "", None]
     page = "<title>A &amp; <b>B</b></title>"
     assert one(spark, lambda x: T.page_title(x, F.lit("u")), page, "no", "<title></title>") == ["A & B", "u", ""]
 
@@ -258,3 +270,45 @@ def test_index_totals(spark):
     health = spark.createDataFrame([("entry", 1, "stale")], "kind string, id long, problem string")
     assert index_totals(health, chunks).first() == (1, 4, 1)
     assert index_totals(health.limit(0), chunks.limit(0)).first() == (0, 0, 0)
+
+
+def test_ranks_over_ranges(spark):
+    from deskmill.operators.conversations import ranked
+
+    rng = random.Random(3)
+    rows = [(rng.choice("aaab"), rng.choice([None, 1, 2, 3]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, x int, i int").repartition(7)
+    got = {(r.g, r.position): r.i for r in ranked(df, "g", F.col("x").desc_nulls_last(), F.col("i").asc()).collect()}
+    for g in "ab":
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        assert [got[g, p + 1] for p in range(len(mine))] == [r[2] for r in mine]
+    assert len(got) == len(rows) and ranked(df.limit(0), "g", F.col("i").asc()).count() == 0
+
+
+def test_longest_base_and_blank_bases(spark):
+    from deskmill.operators.conversations import resolve_site
+
+    sites = spark.createDataFrame([(1, "http://a.com"), (2, "http://a.com/fr/"), (3, ""), (4, "/"), (5, None), (6, "http://a.com")], "site_id int, base_url string")
+    df = spark.createDataFrame([(u,) for u in ("http://a.com/fr/x", "http://a.com/fr", "http://a.com", "http://a.co", "", None, "http://b.com", "http://a.com/fr/x")], "page string")
+    got = [(r.page, r.site_id) for r in resolve_site(df, "page", sites).collect()]
+    assert sorted(got, key=str) == sorted([("http://a.com/fr/x", 2), ("http://a.com/fr", 2), ("http://a.com", 1), ("http://a.co", None), ("", None), (None, None), ("http://b.com", None), ("http://a.com/fr/x", 2)], key=str)
+    assert {r.site_id for r in resolve_site(df, "page", sites.limit(0)).collect()} == {None}
+
+
+def test_rate_limit_is_the_last_reason(spark):
+    rng = random.Random(8)
+    texts = ["a real question", "x", "kkkkkkkkkkkkkk", "another question here"]
+    rows = [(i, rng.randrange(3), rng.choice(["p", "q"]), i * 7, rng.choice(texts)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, session long, ip string, s int, content string").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.id: r.reason for r in M.filter_and_limit(df, 60, 2, 2).collect()}
+    sent = []
+    for i, session, ip, at, text in rows:
+        reason = {"x": "too_short", "kkkkkkkkkkkkkk": "gibberish"}.get(text)
+        if reason is None:
+            live = [m for m in sent if m[1] == ip and m[2] >= at - 60]
+            if sum(m[0] == session for m in live) >= 2 or len(live) >= 4:
+                reason = "rate_limit"
+            else:
+                sent.append((session, ip, at))
+        assert got[i] == reason, (i, got[i], reason)
+    assert "rate_limit" in got.values() and "rate_limit" not in {r.reason for r in M.filter_and_limit(df, 0, 2).collect()}
