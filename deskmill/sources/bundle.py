@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskmill.functions.vectors import pack_vector, unpack_vector
+from deskmill.sources.chunks import replace_chunks
 
 FORMAT = 1
 _CHUNK = "array<struct<position: int, site: string, content: string, embedding: string>>"
@@ -15,12 +17,14 @@ _LINE = f"format int, model string, dimensions int, kind string, uid string, chu
 
 
 def export_bundle(chunks: DataFrame, sites: DataFrame, elements: DataFrame, path: str, model: str, dimensions: int, only: list[str] | None = None) -> DataFrame:
-    """Write a gzip bundle and report (kind, exported, chunks, skipped).
+    """Write a gzip bundle and report (kind, exported, chunks, skipped, dropped).
 
-    Site ids become handles and element ids uids; chunks of unknown sites are dropped, sources without an element are skipped and counted.
+    Site ids become handles and element ids uids; chunks of unknown sites are dropped, sources without an element are skipped; both are counted.
     """
-    c = chunks.where(F.col("source_type").isin(only)) if only else chunks
-    c = c.join(sites.select("site_id", F.col("handle").alias("site")), "site_id", "left").where("site_id IS NULL OR site IS NOT NULL")
+    every = chunks.where(F.col("source_type").isin(only)) if only else chunks
+    every = every.join(sites.select("site_id", F.col("handle").alias("site")), "site_id", "left").withColumn("known", F.expr("site_id IS NULL OR site IS NOT NULL"))
+    lost = every.groupBy(F.col("source_type").alias("kind")).agg(F.count_if(~F.col("known")).alias("dropped"))
+    c = every.where("known").drop("known")
     c = c.join(elements.select(F.col("id").alias("source_id"), "uid"), "source_id", "left")
     c = c.withColumn("packed", F.base64(pack_vector(F.col("embedding"))))
     nested = F.transform(F.sort_array(F.collect_list(F.struct("position", "id", "site", "content", "packed"))), lambda x: F.struct(x["position"].alias("position"), x["site"].alias("site"), x["content"].alias("content"), x["packed"].alias("embedding")))
@@ -30,11 +34,23 @@ def export_bundle(chunks: DataFrame, sites: DataFrame, elements: DataFrame, path
     rows.select(F.to_json(F.struct("kind", "uid", "chunks")).alias("value")).write.option("compression", "gzip").text(f"{path}/sources")
     per = c.groupBy(F.col("source_type").alias("kind")).agg(
         F.countDistinct(F.when(F.col("uid").isNotNull(), F.col("source_id"))).alias("exported"), F.count_if(F.col("uid").isNotNull()).alias("chunks"), F.countDistinct(F.when(F.col("uid").isNull(), F.col("source_id"))).alias("skipped"))
-    return per
+    return lost.join(per, "kind", "left").na.fill(0).select("kind", "exported", "chunks", "skipped", "dropped")
 
 
-def import_bundle(spark: SparkSession, path: str, sites: DataFrame, elements: DataFrame, model: str, dimensions: int, reembed: bool = False, site_map: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Chunks placed in this installation, and a report (kind, placed, skipped, dropped); refuses newer formats and other models."""
+@dataclass
+class ImportPlan:
+    """What an import would do: the chunks and the sources (source_type, source_id) it places, and (kind, placed, skipped, written, dropped)."""
+
+    chunks: DataFrame
+    sources: DataFrame
+    report: DataFrame
+
+
+def plan_import(spark: SparkSession, path: str, sites: DataFrame, elements: DataFrame, model: str, dimensions: int, reembed: bool = False, site_map: dict[str, str] | None = None) -> ImportPlan:
+    """The chunks of a bundle placed in this installation; refuses newer formats and other models.  Nothing is written.
+
+    A source whose uid no element has is skipped, a chunk whose site this installation doesn't have is dropped.
+    """
     head = spark.read.text(f"{path}/header").select(F.from_json("value", _LINE).alias("h")).select("h.*").first()
     if head is None or head["format"] is None or head["format"] > FORMAT:
         raise ValueError("unknown bundle format")
@@ -48,6 +64,19 @@ def import_bundle(spark: SparkSession, path: str, sites: DataFrame, elements: Da
     rows = rows.join(sites.select(F.col("handle").alias("site"), "site_id"), "site", "left")
     known = F.col("site").isNull() | F.col("site_id").isNotNull()
     vector = F.lit(None).cast("array<float>") if reembed else unpack_vector(F.unbase64("embedding"))
+    written = rows.groupBy("kind").agg(F.count_if(known).alias("written"), F.count_if(~known).alias("dropped"))
     report = placed.groupBy("kind").agg(F.count_if(F.col("source_id").isNotNull()).alias("placed"), F.count_if(F.col("source_id").isNull()).alias("skipped"))
-    report = report.join(rows.groupBy("kind").agg(F.count_if(~known).alias("dropped")), "kind", "left").na.fill(0, ["dropped"])
-    return rows.where(known).select(F.col("kind").alias("source_type"), "source_id", "site_id", "position", "content", vector.alias("embedding")), report
+    report = report.join(written, "kind", "left").na.fill(0, ["written", "dropped"])
+    own = rows.where(known).select(F.col("kind").alias("source_type"), "source_id", "site_id", "position", "content", vector.alias("embedding"))
+    return ImportPlan(own, placed.where("source_id IS NOT NULL").select(F.col("kind").alias("source_type"), "source_id"), report)
+
+
+def import_bundle(table: str, plan: ImportPlan, dry_run: bool = False) -> DataFrame:
+    """Replace the chunks of all placed sources in the table at ``table``, and give the report; with ``dry_run`` only the report.
+
+    A placed source takes over what the bundle has of it: all its former chunks go, also where every new one is dropped.
+    Importing again gives the same table.
+    """
+    if not dry_run:
+        replace_chunks(plan.chunks, plan.sources, table)
+    return plan.report

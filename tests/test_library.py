@@ -13,7 +13,7 @@ from deskmill.operators.chunking import chunk_text, hard_split, split_text
 from deskmill.operators.embed import batches_of, embed_chunks
 from deskmill.operators.records import humanize, labelled_text, validate_submissions
 from deskmill.plans.views import view
-from deskmill.sources.bundle import export_bundle, import_bundle
+from deskmill.sources.bundle import export_bundle, import_bundle, plan_import
 from deskmill.sources.files import page_text, read_documents, sitemap_urls
 from deskmill.sources.registry import register_chunk_function, register_source, source_texts
 from deskmill.streaming import jobs
@@ -111,12 +111,38 @@ def test_bundle_round_trip(spark, tmp_path):
     elements = chunks.where("source_id % 7 <> 0").select(F.col("source_id").alias("id"), F.concat(F.lit("u"), F.col("source_id").cast("string")).alias("uid")).distinct()
     sites = view(spark, SF, "sites")
     report = export_bundle(chunks, sites.where("site_id < 4"), elements, str(tmp_path / "b"), "m", 64)
-    back, told = import_bundle(spark, str(tmp_path / "b"), sites, elements, "m", 64)
+    plan = plan_import(spark, str(tmp_path / "b"), sites, elements, "m", 64)
+    back, told = plan.chunks, plan.report
     want = chunks.where("source_id % 7 <> 0 AND (site_id IS NULL OR site_id < 4)").select("source_type", "source_id", "site_id", "content", "embedding")
     assert sorted(map(str, back.select(want.columns).collect())) == sorted(map(str, want.collect()))
     assert {r.kind: r.exported for r in report.collect()} == {r.kind: r.placed for r in told.collect()}
+    lost = {r.source_type: r.n for r in chunks.where("site_id >= 4").groupBy("source_type").agg(F.count("*").alias("n")).collect()}
+    assert {r.kind: r.dropped for r in report.collect() if r.dropped} == lost
     with pytest.raises(ValueError):
-        import_bundle(spark, str(tmp_path / "b"), sites, elements, "other", 64)
+        plan_import(spark, str(tmp_path / "b"), sites, elements, "other", 64)
+
+
+def test_bundle_import_into_a_table(spark, tmp_path):
+    from deskmill.sources.chunks import read_chunks, write_chunks
+
+    schema = "id long, source_type string, source_id long, site_id long, position int, content string, embedding array<float>"
+    data = [(1, "entry", 1, None, 0, "one", [1.0]), (2, "entry", 1, 1, 1, "one b", None), (3, "entry", 2, 2, 0, "two", [2.0]), (4, "entry", 3, None, 0, "three", [3.0]), (5, "url", 4, 1, 0, "four", [4.0])]
+    sites = spark.createDataFrame([(1, "en"), (2, "fr")], "site_id long, handle string")
+    elements = spark.createDataFrame([(i, f"u{i}") for i in (1, 2, 3, 4)], "id long, uid string")
+    export_bundle(spark.createDataFrame(data, schema), sites, elements, str(tmp_path / "b"), "m", 1)
+    # Here the ids differ, one element and one site are missing.
+    there = spark.createDataFrame([(11, "u1"), (12, "u2"), (14, "u4")], "id long, uid string")
+    table = str(tmp_path / "t")
+    old = [(9, "entry", 11, None, 0, "old", [9.0]), (9, "entry", 12, None, 0, "goes too", [9.0]), (9, "entry", 77, None, 0, "stays", [9.0])]
+    write_chunks(spark.createDataFrame(old, schema), table, "overwrite", buckets=4)
+    plan = plan_import(spark, str(tmp_path / "b"), sites.where("handle = 'en'").selectExpr("site_id + 5 AS site_id", "handle"), there, "m", 1)
+    now = lambda: sorted((r.source_type, r.source_id, r.site_id or 0, r.content) for r in read_chunks(spark, table).collect())
+    before = now()
+    told = {r.kind: (r.placed, r.skipped, r.written, r.dropped) for r in import_bundle(table, plan, dry_run=True).collect()}
+    assert told == {"entry": (2, 1, 2, 1), "url": (1, 0, 1, 0)} and now() == before
+    for _ in range(2):
+        assert {r.kind: (r.placed, r.skipped, r.written, r.dropped) for r in import_bundle(table, plan).collect()} == told
+        assert now() == [("entry", 11, 0, "one"), ("entry", 11, 6, "one b"), ("entry", 77, 0, "stays"), ("url", 14, 6, "four")]
 
 
 def test_files_and_sitemaps(spark, tmp_path):
