@@ -48,6 +48,15 @@ def _band(width: Column) -> Column:
     return F.floor(F.log(width) / F.log(F.lit(_BAND))).cast("int")
 
 
+def _terms(stems: Column) -> Column:
+    """(stem, tf) of each distinct stem, within the row: runs of the sorted stems, so that no word is shuffled to be counted."""
+    runs = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    counted = lambda x: F.transform(x["at"], lambda p, k: F.struct(F.get(x["s"], p).alias("stem"), (F.coalesce(F.get(x["at"], k + 1), F.size(x["s"])) - p).cast("long").alias("tf")))
+    # Sorted stems and the starts of their runs as one value each, so that they are made once.
+    both = F.transform(F.array(F.sort_array(stems)), lambda s: F.struct(s.alias("s"), F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<int>")).alias("at")))
+    return F.transform(both, counted)[0]
+
+
 def query_stems(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.col("site_id").alias("q_site"), F.explode(F.array_distinct(stems(F.col("text")))).alias("stem"))
 
@@ -58,10 +67,9 @@ def lexical_index(chunks: DataFrame, queries: DataFrame | None = None, text: str
     words = stored(words.select("*", F.size(F.array_distinct("stems")).alias("width")), "stems")
     sizes = words.groupBy("site_id").agg(F.count("*").alias("docs"), F.sum(F.size("stems")).alias("words"))
     cuts = F.lit(1 + words.count() // _CUT)
-    one = words.select("chunk_id", "site_id", F.greatest(F.lit(1), F.size("stems")).alias("length"), "width", F.explode("stems").alias("stem"))
+    postings = words.select("chunk_id", "site_id", F.greatest(F.lit(1), F.size("stems")).alias("length"), "width", F.explode(_terms(F.col("stems"))).alias("t")).select("*", "t.stem", "t.tf")
     if queries is not None:
-        one = one.join(query_stems(queries).select("stem").distinct(), "stem", "left_semi")
-    postings = one.groupBy("stem", "chunk_id", "site_id", "length", "width").agg(F.count("*").alias("tf"))
+        postings = postings.join(query_stems(queries).select("stem").distinct(), "stem", "left_semi")
     postings = stored(postings.select("stem", _band(F.col("width")).alias("band"), F.pmod(F.xxhash64("chunk_id"), cuts).alias("cut"), "chunk_id", "site_id", "tf", "length", "width"), "postings")
     blocks = postings.groupBy("stem", "site_id", "band", "cut").agg(F.count("*").alias("n"), F.max("width").alias("width"), F.max(F.col("tf") / F.col("length")).alias("share"))
     block = F.struct("width", "band", "cut", "site_id", "share", "n")  # in this order: the widest first
