@@ -53,13 +53,7 @@ def transformed(replies: DataFrame, column: str = "reply") -> DataFrame:
 
 def register_chunk_function(spark: SparkSession, name: str = "chunk_text") -> None:
     """Make ``SELECT * FROM chunk_text(text, size, overlap)`` work in SQL."""
-    from pyspark.sql.functions import udtf
+    from deskmill.operators.chunking import chunks_sql
 
-    from deskmill.operators.chunking import split_text
-
-    @udtf(returnType="position: int, section: string, content: string")
-    class Chunks:
-        def eval(self, text: str, size: int, overlap: int):
-            yield from split_text(text, size, overlap)
-
-    spark.udtf.register(name, Chunks)
+    chunks = chunks_sql(f"{name}.text", f"{name}.size", f"{name}.overlap")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING, size INT, overlap INT) RETURNS TABLE (position INT, section STRING, content STRING) RETURN SELECT inline({chunks})")

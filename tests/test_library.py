@@ -9,7 +9,7 @@ from deskmill.functions.html_region import region
 from deskmill.functions.urls import audit_links, normalize_url, og_image, og_meta, strip_links
 from deskmill.functions.vectors import pack_vector, unpack_vector
 from deskmill.operators import moderation as M
-from deskmill.operators.chunking import chunk_text, hard_split, split_text
+from deskmill.operators.chunking import chunk_text
 from deskmill.operators.embed import batches_of, embed_chunks
 from deskmill.operators.records import humanize, labelled_text, validate_submissions
 from deskmill.plans.views import view
@@ -74,23 +74,60 @@ def test_region():
     assert region(f"<body><div class='a'><p>{body}</p></div></body>", "div.a p").startswith("<p>")
 
 
-def test_chunks(spark):
+def chunks_of(spark, texts, size, overlap):
+    """Chunks of each text; the frame has columns named like those of the result's workings."""
+    df = spark.createDataFrame([(i, t, "b", "s") for i, t in enumerate(texts)], "id long, text string, block string, held string")
+    out = {}
+    for r in chunk_text(df, "text", size, overlap).orderBy("id", "position").collect():
+        assert (r.block, r.held) == ("b", "s")
+        out.setdefault(r.id, []).append((r.position, r.section, r.content))
+    return [out.get(i, []) for i in range(len(texts))]
+
+
+def test_chunks_golden(spark):
+    a, b, c = "a" * 100, "b" * 200, "c" * 290
+    texts = [
+        f"{a}\n\n{b}",  # 302 characters with the gap: two chunks, the second with the tail of the first
+        f"{a}\n\n{b[:198]}",  # 300: one chunk
+        f"## One ##\n\n{a}\n\n### Two\nmore\n\n{b}\n\n# Three\n\n{c}",
+        f"{a}\n\n{'x' * 301}\n\n{b}",  # a long block is cut on its own, no tail goes into it or out of it
+        "w" * 160 + " " + "v" * 200,  # the last space in the second half ends a window
+        "w" * 150 + " " + "v" * 200,  # a space at half the size doesn't
+        "\U0001d11e" * 400,
+        "# \n\n \n\n\t", None, "", " \n ", "#" * 7 + " no", "# in\none",
+    ]
+    got = chunks_of(spark, texts, 300, 50)
+    assert got[0] == [(0, None, a), (1, None, a[:50] + "\n\n\n\n" + b)]
+    assert got[1] == [(0, None, f"{a}\n\n{b[:198]}")]
+    # A chunk has the section that was on when it began; a heading with more lines below it is none.
+    first = f"## One ##\n\n{a}\n\n### Two\nmore"
+    second = first[-50:] + f"\n\n\n\n{b}\n\n# Three"
+    assert got[2] == [(0, "One ##", first), (1, "One ##", second), (2, "Three", second[-50:] + f"\n\n\n\n{c}")]
+    assert got[3] == [(0, None, a), (1, None, "x" * 300), (2, None, "x" * 51), (3, None, b)]
+    assert got[4] == [(0, None, "w" * 160), (1, None, "w" * 49 + " " + "v" * 200)]
+    assert got[5] == [(0, None, "w" * 150 + " " + "v" * 149), (1, None, "v" * 101)]
+    assert [len(x[2]) for x in got[6]] == [300, 150]
+    assert got[7:] == [[(0, None, "#")], [], [], [], [(0, None, "####### no")], [(0, None, "# in\none")]]
+    assert "Python" not in chunk_text(spark.createDataFrame([("a",)], "text string"))._jdf.queryExecution().toString()
+
+
+def test_chunks_of_random_and_long_texts(spark):
     rng = random.Random(3)
+    texts = ["".join(rng.choice(["w" * rng.randint(1, 9), "# Head\n\n", "\n\n", ". ", " "]) + rng.choice([" ", " ", "\n"]) for _ in range(rng.randint(1, 400))) for _ in range(60)]
+    texts += ["ab " * 100_000, "\n\n".join(f"block {i}" for i in range(20_000))]
     for size, overlap in ((300, 0), (300, 150), (500, 60)):
-        for _ in range(40):
-            text = "".join(rng.choice(["w" * rng.randint(1, 9), "# Head\n\n", "\n\n", ". ", " "]) + rng.choice([" ", " ", "\n"]) for _ in range(rng.randint(1, 400)))
-            chunks = split_text(text, size, overlap)
+        for text, chunks in zip(texts, chunks_of(spark, texts, size, overlap)):
             assert [c[0] for c in chunks] == list(range(len(chunks)))
             assert all(0 < len(c[2]) <= size + overlap + 4 for c in chunks)
-            said = " ".join(c[2] for c in chunks)
+            if overlap == 0:  # nothing is lost, doubled or moved
+                assert "".join("".join(c[2].split()) for c in chunks) == "".join(text.split())
+            said = set(" ".join(c[2] for c in chunks).split())
             assert all(w in said for w in text.split())
-    assert split_text("# A\n\n" + "x " * 100 + "\n\n# B\n\n" + "y " * 90, 300, 50)[-1][1] == "B"
-    assert [len(x) for x in hard_split("a" * 5000, 1200, 150)][:2] == [1200, 1200]
-    assert split_text(None) == split_text(" \n ") == []
-    df = spark.createDataFrame([(1, "one\n\ntwo"), (2, None)], "id long, text string")
-    assert [tuple(r) for r in chunk_text(df).collect()] == [(1, 0, None, "one\n\ntwo")]
+    assert chunks_of(spark, ["a" * 1300], 0, None) == [[(0, None, "a" * 1200), (1, None, "a" * 250)]]
     register_chunk_function(spark)
     assert spark.sql("SELECT content FROM chunk_text('a b', 300, 10)").collect()[0][0] == "a b"
+    spark.createDataFrame([(1, "one\n\ntwo"), (2, None)], "id long, text string").createOrReplaceTempView("some_texts")
+    assert [tuple(r) for r in spark.sql("SELECT id, c.* FROM some_texts t, LATERAL chunk_text(t.text, 0, 10) c").collect()] == [(1, 0, None, "one\n\ntwo")]
 
 
 def test_embedding_batches(spark):
