@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskmill.operators import changes as G
 from deskmill.operators import conversations as C
 from deskmill.plans.views import ctes, view
 
@@ -178,3 +179,42 @@ def e24_messages_after(s, m):
 @query(f"SELECT id, {_SHORT} AS short_id, strftime(date_created AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Tokyo', '%H:%M') AS local_time FROM sessions", "sessions")
 def e25_short_id_local_time(s):
     return s.select("id", C.short_id(F.col("id"), F.col("session_token")).alias("short_id"), C.local_time(F.col("date_created"), "Asia/Tokyo").alias("local_time"))
+
+
+_SWEPT = f"""l_ AS (SELECT session_id, max(date_created) AS m FROM messages GROUP BY session_id),
+ x_ AS (SELECT id AS sid FROM sessions LEFT JOIN l_ ON session_id=id WHERE handoff_status IN ('requested','active') AND chat_ended_at IS NULL AND greatest(m, admin_last_read_at, user_last_read_at, handoff_started_at, handoff_requested_at) < {_NOW} - INTERVAL 15 MINUTE)"""
+
+
+@query(f"""+{_SWEPT} SELECT id, CASE WHEN sid IS NULL THEN handoff_status ELSE 'ended' END AS handoff_status, CASE WHEN sid IS NOT NULL THEN {_NOW} END AS handoff_ended_at,
+ CASE WHEN sid IS NULL THEN chat_ended_at ELSE {_NOW} END AS chat_ended_at, CASE WHEN sid IS NULL THEN CAST(id%4 AS INTEGER) ELSE 0 END AS low_conf_streak, session_token FROM sessions LEFT JOIN x_ ON sid=id""", "sessions", "messages")
+def e15_sessions_after_sweep(s, m):
+    s = s.withColumns({"handoff_ended_at": F.expr("CAST(NULL AS TIMESTAMP_NTZ)"), "low_conf_streak": (F.col("id") % 4).cast("int")})
+    return G.apply_changes(s, G.closing_changes(s, m, NOW()), "sessions").select("id", "handoff_status", "handoff_ended_at", "chat_ended_at", "low_conf_streak", "session_token")
+
+
+@query(f"""+{_SWEPT} SELECT id, session_id, role, content, confidence, date_created FROM messages UNION ALL
+ SELECT (SELECT max(id) FROM messages) + row_number() OVER (ORDER BY sid), sid, 'system', 'Conversation auto-closed after 15 minutes of inactivity.', NULL, {_NOW} FROM x_""", "sessions", "messages")
+def e15_messages_after_sweep(s, m):
+    return G.apply_changes(m, G.closing_changes(s, m, NOW()), "messages").select("id", "session_id", "role", "content", "confidence", "date_created")
+
+
+def _picked(m: DataFrame) -> DataFrame:
+    """Answers to the gaps of all messages rated down; some are blank, and change nothing."""
+    return C.gap_list(m).where("reason = 'rated_down'").selectExpr("id AS message_id", "CAST(NULL AS string) AS question", "CASE WHEN id % 5 = 0 THEN '  ' WHEN id % 5 = 1 THEN concat(' See ', id) END AS answer", "session_id % 3 AS site_id", "id % 2 = 0 AS translate")
+
+
+_PICKED = _GAPS + f""", w_ AS (SELECT chr(9)||chr(10)||chr(11)||chr(13)||' ' AS ws), p_ AS (SELECT id AS mid, trim(question, ws) AS q, trim(CASE WHEN id%5=0 THEN '  ' WHEN id%5=1 THEN concat(' See ', id) ELSE answer END, ws) AS a, nullif(session_id%3,0) AS site, id%2=0 AS tr FROM gaps_, w_ WHERE reason='rated_down'),
+ y_ AS (SELECT * FROM p_ WHERE q<>'' AND a<>'')"""
+
+
+@query(f"""+{_PICKED} SELECT id, question, answer, NULL AS source, NULL AS source_message_id, active, site_id, translate FROM qa UNION ALL
+ SELECT (SELECT max(id) FROM qa) + row_number() OVER (ORDER BY mid), q, a, 'chat', mid, true, site, site IS NULL AND tr FROM y_""", "messages", "qa")
+def e10_qa_after_promotion(m, qa):
+    qa = qa.withColumns({"source": F.lit(None).cast("string"), "source_message_id": F.lit(None).cast("long")})
+    return G.apply_changes(qa, G.promotion_changes(m, qa, _picked(m), NOW()), "qa").select("id", "question", "answer", "source", "source_message_id", "active", "site_id", "translate")
+
+
+@query(f"""+{_PICKED} SELECT id, content, mid IS NOT NULL AS used_as_qa, gap_resolved OR mid IS NOT NULL AS gap_resolved, CASE WHEN mid IS NOT NULL THEN {_NOW} END AS gap_resolved_at FROM messages LEFT JOIN y_ ON mid=id""", "messages", "qa")
+def e10_messages_after_promotion(m, qa):
+    m = m.withColumns({"used_as_qa": F.lit(False), "gap_resolved_at": F.expr("CAST(NULL AS TIMESTAMP_NTZ)")})
+    return G.apply_changes(m, G.promotion_changes(m, qa, _picked(m), NOW()), "messages").select("id", "content", "used_as_qa", "gap_resolved", "gap_resolved_at")
