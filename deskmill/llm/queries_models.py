@@ -16,8 +16,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    langs, matrix = train(docs.where(~held_out))
-    found = predict(docs, langs, matrix)
+    found = predict(docs, train(docs.where(~held_out)))
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

@@ -1,11 +1,15 @@
+import math
+import random
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from deskmill.llm.language_id import predict, train
 from deskmill.llm.queries_models import LISTED, op7_language_id, op8_url_filter
 from deskmill.llm.url_rules import judge_urls, listed_rules, match_rules, mine_rules
+from deskmill.llm.words import mix
 
 SF = "/root/testdata/sf0.01"
 
@@ -22,14 +26,56 @@ def test_language_accuracy_on_held_out_documents(spark):
 def test_language_cases(spark):
     data = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (None, "x", "fr"), (3, None, "en"), (4, "le chat", None), (5, "123 !?", "de"), (6, "", "en"), (7, "t", None), (7, "t", None), (8, "und die " * 50_000, None), (9, "\ud55c\uae00 \U0001f600", None)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
-    langs, matrix = train(df, buckets=1 << 10)
-    assert langs == ["de", "en"]
-    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(df, langs, matrix).collect()}
+    model = train(df, buckets=1 << 10)
+    assert [langs for langs, _ in model] == [["de", "en"]]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(df, model).collect()}
     assert got[1][0] == "en" and got[2][0] == "de" and got[8][0] == "de"
     assert got[3] == got[5] == got[6] == ("und", 0.0)
-    assert predict(df.limit(0), langs, matrix).count() == 0
-    langs, matrix = train(df.limit(0))
-    assert {r.lang_pred for r in predict(df, langs, matrix).collect()} == {"und"}
+    assert predict(df.limit(0), model).count() == 0
+    model = train(df.limit(0))
+    assert {r.lang_pred for r in predict(df, model).collect()} == {"und"}
+
+
+def naive_bayes(rows, buckets):
+    """Log of prior and likelihood of a text under each language, with plain loops; only the hash of an n-gram is the library's."""
+    def grams(text):
+        kept = "".join(c if c.isalpha() else " " for c in f"\n{text.lower()}\n")
+        for n in (2, 3):
+            for i in range(len(kept) - n + 1):
+                if kept[i : i + n].strip(" "):
+                    h = 0
+                    for c in kept[i : i + n]:
+                        h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+                    yield int(mix(np.array([(h + n) % (1 << 64)], np.uint64))[0]) % buckets
+
+    langs = sorted({lang for _, lang in rows})
+    counts = {lang: [0.5] * buckets for lang in langs}
+    texts = {lang: 1 for lang in langs}
+    for text, lang in rows:
+        texts[lang] += 1
+        for g in grams(text):
+            counts[lang][g] += 1
+    sums = {lang: sum(counts[lang]) for lang in langs}
+    return lambda text: {lang: math.log(texts[lang] / sum(texts.values())) + sum(math.log(counts[lang][g] / sums[lang]) for g in grams(text)) for lang in langs}
+
+
+def test_blocks_of_languages_against_naive_bayes_by_hand(spark):
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("abcdé "[k % 3 :] + "xyzß"[: k % 5]) for _ in range(rng.randint(1, 60))), f"l{k}") for k in range(7) for _ in range(2 + k)]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    by_hand = naive_bayes(rows, 256)
+    for size in (512, 3, 1):
+        model = train(df, buckets=256, languages_per_block=size)
+        assert [x for langs, _ in model for x in langs] == [f"l{k}" for k in range(7)] and all(len(langs) <= size for langs, _ in model)
+        for r in predict(df, model).collect():
+            text = rows[r.doc_id][0]
+            if not any(map(str.isalpha, text)):
+                assert (r.lang_pred, r.score) == ("und", 0.0)
+                continue
+            logs = by_hand(text)
+            top = max(logs.values())
+            assert logs[r.lang_pred] > top - 1e-3  # the matrix has single precision
+            assert abs(r.score - 1 / sum(math.exp(x - top) for x in logs.values())) < 1e-3
 
 
 def brute(url):
