@@ -102,6 +102,24 @@ def low_confidence_streak(messages: DataFrame, floor: float = 0.35, threshold: i
     return m.where(judged).select(F.col("id").alias("message_id"), "streak", (F.col("streak") >= threshold).alias("offer_human"))
 
 
+#: What a model puts into a reply to offer a person (fixed value).
+HANDOFF_TOKEN = "[[HANDOFF_OFFER]]"
+
+
+def offers(replies: DataFrame, out_of_scope: Column | None = None, channels: bool = True, **streak: float) -> DataFrame:
+    """(message_id, reply, streak, offer_human) of bot replies as the model gave them, the token taken out.
+
+    A person is offered after a streak of low confidence (of turns that searched; ``streak`` goes to it) or by the token;
+    not for requests that are out of scope, and never without a ``channels`` to offer.
+    """
+    said = F.contains("content", F.lit(HANDOFF_TOKEN))
+    clean = F.btrim(F.regexp_replace("content", r"(?U)\s*\[\[HANDOFF_OFFER\]\]\s*", ""), F.lit(" \t\n\r\0\x0b"))
+    barred = F.lit(not channels) if out_of_scope is None else F.lit(not channels) | F.coalesce(out_of_scope, F.lit(False))
+    bot = replies.where("role = 'bot'").select(F.col("id").alias("message_id"), F.when(said, clean).otherwise(F.col("content")).alias("reply"), F.coalesce(said, F.lit(False)).alias("_said"), barred.alias("_barred"))
+    out = bot.join(low_confidence_streak(replies, **streak), "message_id", "left")
+    return out.select("message_id", "reply", "streak", (~F.col("_barred") & (F.col("_said") | F.coalesce("offer_human", F.lit(False)))).alias("offer_human"))
+
+
 def previous_question() -> Column:
     w = Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     return F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(w)

@@ -111,7 +111,8 @@ def parse_duration(token: Column) -> Column:
 
 
 def apply_bans(bans: DataFrame, new: DataFrame) -> DataFrame:
-    """One ban per ip: the newest, and of ``new`` before old ones."""
+    """One ban per ip: the newest, and of ``new`` before old ones; the ips of new ones are trimmed, blank ones ban nobody."""
+    new = new.withColumn("ip", F.btrim("ip", F.lit(" \t\n\r\0\x0b"))).where("ip <> ''")
     both = bans.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     best = both.groupBy("ip").agg(F.max_by(F.struct("expires_at", "date_created"), F.struct("_new", "date_created", F.coalesce("expires_at", F.expr("TIMESTAMP_NTZ'9999-12-31 00:00:00'")))).alias("b"))
     return best.select("ip", "b.expires_at", "b.date_created")
@@ -121,6 +122,11 @@ def active_bans(bans: DataFrame, now: Column) -> DataFrame:
     return bans.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
+def purge_expired(bans: DataFrame, now: Column) -> DataFrame:
+    """What stays of the bans when those that ended before now go."""
+    return bans.where(F.col("expires_at").isNull() | (F.col("expires_at") >= now))
+
+
 def banned_filter(df: DataFrame, bans: DataFrame, now: Column) -> DataFrame:
     """Rows whose ip is not banned."""
     return df.join(active_bans(bans, now).select("ip"), "ip", "left_anti")

@@ -77,6 +77,16 @@ def e7_low_confidence_streak(m):
     return C.low_confidence_streak(m)
 
 
+@query("""+t_ AS (SELECT *, role='bot' AND context_chunks IS NOT NULL AS judged FROM messages), u_ AS (SELECT *, judged AND coalesce(confidence,0)<0.35 AS low FROM t_),
+ i_ AS (SELECT *, sum(CASE WHEN judged AND NOT low THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY id) AS island FROM u_),
+ s_ AS (SELECT *, CASE WHEN judged THEN CAST(sum(CASE WHEN low THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, island ORDER BY id) AS BIGINT) END AS streak FROM i_)
+ SELECT id AS message_id, CASE WHEN id%7=0 THEN trim(content, ' '||chr(9)||chr(10)||chr(11)||chr(13))||'Bye' ELSE content END AS reply, streak, id%17<>0 AND (id%7=0 OR coalesce(streak>=2,false)) AS offer_human FROM s_ WHERE role='bot'""", "messages")
+def e7_offers(m):
+    """Every seventh reply has the token in its last line; requests are out of scope by a rule on ids."""
+    m = m.withColumn("content", F.expr("CASE WHEN id % 7 = 0 THEN concat(trim(BOTH ' \\t\\n\\u000B\\r' FROM content), ' \\n[[HANDOFF_OFFER]] Bye') ELSE content END"))
+    return C.offers(m, out_of_scope=F.col("id") % 17 == 0)
+
+
 @query(f"+{_GAPS} SELECT * FROM gaps_", "messages")
 def e8_gap_list(m):
     return C.gap_list(m)

@@ -74,6 +74,13 @@ def f5_banned_filter(s, b):
     return M.banned_filter(s.select("id", "ip"), b, NOW())
 
 
+@query(f"""+n_ AS (SELECT ip, max(date_created) AS made_ FROM sessions WHERE id%6=1 GROUP BY ip), b_ AS (SELECT ip, expires_at, TIMESTAMP '2023-12-01 00:00:00' AS date_created FROM bans WHERE ip NOT IN (SELECT ip FROM n_)
+ UNION ALL SELECT ip, CASE WHEN ip LIKE '%.3' THEN NULL ELSE made_ + INTERVAL 7 DAY END, made_ FROM n_) SELECT * FROM b_ WHERE expires_at IS NULL OR expires_at >= {_NOW}""", "sessions", "bans")
+def f5_apply_bans(s, b):
+    new = s.where("id % 6 = 1").selectExpr("concat(' ', ip) AS ip", "CASE WHEN ip LIKE '%.3' THEN NULL ELSE date_created + INTERVAL 7 DAY END AS expires_at", "date_created")
+    return M.purge_expired(M.apply_bans(b.withColumn("date_created", F.expr("TIMESTAMP_NTZ'2023-12-01 00:00:00'")), new), NOW())
+
+
 @query("SELECT source_type, source_id, content FROM chunks WHERE source_id%4<>1 UNION ALL SELECT source_type, source_id, upper(language) AS content FROM chunks WHERE source_id%8=1", "chunks")
 def c1_replace_source_chunks(c):
     c = c.select("source_type", "source_id", "content", "language")
@@ -144,9 +151,10 @@ def b10_contextualize(p):
     return I.contextualize(c).select("p_partkey", "content", "tokens")
 
 
-@query("""+l AS (SELECT doc_id, generate_subscripts(ls,1) AS i, unnest(ls) AS line, len(ls) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-k AS (SELECT *, trim(regexp_replace(line, '[ \\t\\r\\f\\x0b]+', ' ', 'g')) AS key FROM l), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS m FROM k)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT (n>=10 AND m>=5 AND length(key)>=15)), '') AS text FROM c GROUP BY doc_id""", "documents")
+@query("""+l AS (SELECT doc_id, generate_subscripts(ls,1) AS i, unnest(ls) AS line, len(ls) AS n FROM (SELECT doc_id, string_split_regex(coalesce(text,''), '\\r\\n|[\\n\\x0b\\f\\r\\x{85}\\x{2028}\\x{2029}]') AS ls FROM documents)),
+k AS (SELECT *, trim(regexp_replace(line, '[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS key FROM l), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS m FROM k),
+t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT (n>=10 AND m>=5 AND length(key)>=15)), '') AS text FROM c GROUP BY doc_id)
+SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10)||chr(10), 'g'), ' '||chr(9)||chr(10)||chr(13)||chr(11)) AS text FROM t""", "documents")
 def b6_strip_repeated_lines(d):
     return T.strip_repeated_lines(d)
 

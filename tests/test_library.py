@@ -335,6 +335,22 @@ def test_index_totals(spark):
     assert index_totals(health.limit(0), chunks.limit(0)).first() == (0, 0, 0)
 
 
+def test_repeated_lines_of_any_line_break(spark):
+    texts = ["\r\n".join(["A  header of pages", f"one\t {i}", "", ""][j] for i in range(5) for j in range(4)), "\r".join(["a header of pages"] * 9), "\u2028".join(["a\u00a0header of pages", "a header  of pages"] * 5), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(map(tuple, T.strip_repeated_lines(df).collect()))
+    assert got == {0: "\n\n".join(f"one {i}" for i in range(5)), 1: "\n".join(["a header of pages"] * 9), 2: "", 3: ""}
+
+
+def test_bans_one_per_ip(spark):
+    old = spark.sql("SELECT 'a' AS ip, TIMESTAMP_NTZ'2030-01-01 00:00:00' AS expires_at, TIMESTAMP_NTZ'2029-01-01 00:00:00' AS date_created")
+    new = spark.sql("SELECT * FROM VALUES (' a ', NULL, TIMESTAMP_NTZ'2024-01-01 00:00:00'), ('b', TIMESTAMP_NTZ'2024-01-02 00:00:00', TIMESTAMP_NTZ'2024-01-01 00:00:00'), ('b', TIMESTAMP_NTZ'2024-01-03 00:00:00', TIMESTAMP_NTZ'2024-01-01 00:00:00'), (' ', NULL, TIMESTAMP_NTZ'2024-01-01 00:00:00'), (NULL, NULL, NULL) AS t(ip, expires_at, date_created)")
+    bans = M.apply_bans(old, new)
+    assert {r.ip: r.expires_at and r.expires_at.day for r in bans.collect()} == {"a": None, "b": 3}
+    assert [r.ip for r in M.purge_expired(bans, F.expr("TIMESTAMP_NTZ'2024-01-03 00:00:00'")).orderBy("ip").collect()] == ["a", "b"]
+    assert [r.ip for r in M.purge_expired(bans, F.expr("TIMESTAMP_NTZ'2024-01-03 00:00:01'")).collect()] == ["a"]
+
+
 def test_ranks_over_ranges(spark):
     from deskmill.operators.conversations import ranked
 
