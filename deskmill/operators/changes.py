@@ -25,7 +25,8 @@ def apply_changes(rows: DataFrame, changes: DataFrame, table: str, key: str = "i
 
     Updates of a key that neither the table nor an insert has, null keys, values of columns that the table lacks and
     changes to other tables are left out; an insert of a key that is there works as an update, as replays need it; what
-    comes before a delete of the key is void.  An insert leaves columns without a value null.
+    comes before a delete of the key is void, and an update before the insert of its key counts.  An insert leaves columns
+    without a value null.
     """
     mine = changes.where((F.col("table") == table) & F.col("key").isNotNull())
     columns = [c for c in rows.columns if c != key]
