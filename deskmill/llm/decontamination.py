@@ -214,7 +214,7 @@ def align_pairs(pairs: DataFrame, min_score: float) -> DataFrame:
     return pairs.select("row", "item", "doc_id", "item_id", "begin", "words", "item_words").mapInArrow(align, _HIT)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, min_score: float = 0.5, block_mb: float = 16, candidates: float = 0.5, stretch: int = 4) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, min_score: float = 0.5, block_mb: float = 16, candidates: float = 0.1, stretch: int = 4) -> DataFrame:
     """doc_id, item_id, score (0 to 1) and the span of words, for each document that holds a copy of an item."""
     blocks = 1 + int(text_mb(items) / block_mb)
     cut, budget = checkpoint(item_grams(items, n)), candidates * docs.count() / blocks
