@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskmill.functions.text import stems
+from deskmill.functions.urls import normalize_url
 from deskmill.operators.postings import LexicalIndex, lexical_index, search
+from deskmill.operators.records import absolute_url
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -205,13 +207,26 @@ def score_gate(hits: DataFrame, queries: DataFrame, min_similarity: float = 0.35
     return queries.select("query_id").join(top, "query_id", "left").join(n, "query_id", "left").select("query_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("context_chunks", F.lit(0)).alias("context_chunks"))
 
 
+def source_urls(hits: DataFrame, tracked: DataFrame, elements: DataFrame, urls: DataFrame) -> DataFrame:
+    """``hits`` (with source_type, source_id) and the ``url`` of each source that has a public page, else null.
+
+    Entries and categories go by ``tracked`` (source_type, id, element_id, site_id) to the live element (id, site_id, status, date_deleted,
+    url) of that site, if its URL is absolute; url sources by ``urls`` (id, url); other kinds have none.
+    """
+    e = elements.where("status = 'live' AND date_deleted IS NULL").select(F.col("id").alias("element_id"), "site_id", absolute_url(F.col("url")).alias("url"))
+    pages = tracked.where(F.col("source_type").isin("entry", "category")).join(e, ["element_id", "site_id"])
+    own = urls.select(F.lit("url").alias("source_type"), "id", "url")
+    places = pages.select("source_type", "id", "url").unionByName(own).where("url <> ''").withColumnRenamed("id", "source_id")
+    return hits.drop("url").join(places, ["source_type", "source_id"], "left")
+
+
 def assemble_context(hits: DataFrame) -> DataFrame:
-    """(query_id, context, allowed_urls) of (query_id, rank, source_type, content, url): numbered blocks in rank order."""
+    """(query_id, context, allowed_urls) of (query_id, rank, source_type, content, url): numbered blocks in rank order, and normalized URLs."""
     w = Window.partitionBy("query_id").orderBy("rank")
     h = hits.withColumn("i", F.row_number().over(w))
     head = F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] ("), "source_type", F.lit(")"), F.coalesce(F.concat(F.lit(" URL: "), "url"), F.lit("")))
     h = h.withColumn("block", F.concat(head, F.lit("\n"), "content"))
-    g = h.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "block"))).alias("b"), F.sort_array(F.collect_set("url")).alias("allowed_urls"))
+    g = h.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "block"))).alias("b"), F.sort_array(F.collect_set(normalize_url(F.col("url")))).alias("allowed_urls"))
     return g.select("query_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n---\n\n").alias("context"), "allowed_urls")
 
 

@@ -242,10 +242,17 @@ def d8_mmr_rerank(q, c):
     return R.mmr_rerank(hits.join(c.select(F.col("id").alias("chunk_id"), "embedding"), "chunk_id"))
 
 
-@query(f"{_SEARCH} SELECT query_id, string_agg('['||rank||'] ('||source_type||')'||chr(10)||content, chr(10)||chr(10)||'---'||chr(10)||chr(10) ORDER BY rank) AS context FROM fused_ JOIN chunks c ON c.id=chunk_id WHERE rank<=3 GROUP BY query_id", "queries", "chunks")
-def d10_assemble_context(q, c):
-    hits = R.hybrid_search(q, c, k=3).join(c.select(F.col("id").alias("chunk_id"), "source_type", "content"), "chunk_id").withColumn("url", F.lit(None).cast("string"))
-    return R.assemble_context(hits).select("query_id", "context")
+@query(rf"""{_SEARCH}, place_ AS (SELECT 'url' AS source_type, page_id AS id, url FROM pages UNION ALL
+ SELECT 'entry', t.id-500000, s.base_url||'/'||e.id FROM tracked t JOIN elements e ON e.id=t.element_id AND e.site_id=t.site_id JOIN sites s ON s.site_id=e.site_id WHERE e.status='live' AND e.date_deleted IS NULL AND e.id%6<>0),
+shown_ AS (SELECT f.query_id, f.rank, c.source_type, c.content, u.url, regexp_extract(url,'^([a-z]+)://',1)||'://'||regexp_extract(url,'^[a-z]+://([^/?#:]+)',1)||rtrim(regexp_extract(url,'^[a-z]+://[^/?#]*([^?#]*)',1),'/')||regexp_extract(url,'^[^?#]*(\?[^#]+)',1) AS norm
+ FROM fused_ f JOIN chunks c ON c.id=f.chunk_id LEFT JOIN place_ u ON u.source_type=c.source_type AND u.id=c.source_id WHERE f.rank<=3)
+SELECT query_id, string_agg('['||rank||'] ('||source_type||')'||coalesce(' URL: '||url, '')||chr(10)||content, chr(10)||chr(10)||'---'||chr(10)||chr(10) ORDER BY rank) AS context, coalesce(string_agg(DISTINCT norm, ' ' ORDER BY norm), '') AS allowed_urls FROM shown_ GROUP BY query_id""", "queries", "chunks", "tracked", "elements", "sites", "pages")
+def d10_assemble_context(q, c, tracked, e, s, p):
+    hits = R.hybrid_search(q, c, k=3).join(c.select(F.col("id").alias("chunk_id"), "source_type", "source_id", "content"), "chunk_id")
+    tracked = tracked.select(F.lit("entry").alias("source_type"), (F.col("id") - 500000).alias("id"), "element_id", "site_id")
+    e = e.join(s, "site_id").withColumn("url", F.concat(F.when(F.col("id") % 6 == 0, "").otherwise(F.col("base_url")), F.lit("/"), F.col("id").cast("string")))
+    found = R.source_urls(hits, tracked, e, p.select(F.col("page_id").alias("id"), "url"))
+    return R.assemble_context(found).withColumn("allowed_urls", F.array_join("allowed_urls", " "))
 
 
 @query(f"{_SEARCH} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(score,4) AS cosine, score<0.35 AS below_floor, source_type||'#'||source_id AS source, substring(trim(regexp_replace(content,'[ \\t\\n\\r\\f\\x0b]+',' ','g')),1,160) AS snippet FROM fused_ JOIN chunks c ON c.id=chunk_id WHERE rank<=8", "queries", "chunks")

@@ -16,7 +16,7 @@ from deskmill.plans.core_queries import query as _query
 from deskmill.plans import core_queries
 from deskmill.plans.views import view
 from deskmill.sources.chunks import chunk_rows
-from deskmill.sources.files import page_text
+from deskmill.sources.files import page_text, rendered_text
 
 query = _query
 
@@ -56,6 +56,25 @@ def b7_labelled_text(p):
     return labelled_text(p, "p_partkey", "p_name", None, ["p_brand", "p_type", "p_size"], {"p_brand": "Brand"}, ("p_type",))
 
 
+@query("""SELECT c_custkey AS id, 'Title: '||c_name||CASE WHEN c_custkey%2=1 THEN chr(10)||'URL: https://example.com/c/'||c_custkey ELSE '' END||chr(10)||'Section: '||c_mktsegment
+||CASE WHEN c_mktsegment<>'BUILDING' THEN chr(10)||chr(10)||'Nation:'||chr(10)||n_name||chr(10)||'Lies In: '||r_name ELSE '' END
+||chr(10)||chr(10)||'Segment: '||CASE WHEN c_custkey%3=0 THEN 'trade of '||lower(c_mktsegment) ELSE c_mktsegment END||CASE WHEN c_custkey%5<>0 THEN chr(10)||chr(10)||'Photos: front of '||c_name ELSE '' END AS text
+FROM customer JOIN nation ON n_nationkey=c_nationkey JOIN region ON r_regionkey=n_regionkey""", "customer", "nation", "region")
+def b7_related_text(c, n, r):
+    n = n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", F.array(F.struct(F.col("n_name").alias("title"), F.array(F.struct(F.lit(None).cast("string").alias("label"), F.col("r_name").alias("value"))).alias("liesIn"))).alias("nation"))
+    option = F.struct(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("trade of "), F.lower("c_mktsegment"))).alias("label"), F.col("c_mktsegment").alias("value"))
+    asset = F.struct(F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("front of "), "c_name")).alias("alt"), F.concat(F.lit("IMG_"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("title"))
+    d = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).withColumns({"segment": option, "photos": F.array(asset)})
+    d = d.withColumn("url", F.concat(F.when(F.col("c_custkey") % 2 == 1, "https://example.com").otherwise(""), F.lit("/c/"), F.col("c_custkey").cast("string")))
+    return labelled_text(d, "c_custkey", "c_name", "url", ["nation", "segment", "photos"], header={"Section": "c_mktsegment"}, excluded={"BUILDING": ("nation",)}, scope="c_mktsegment")
+
+
+@query(None, "part", "pages")
+def a1_rendered_records(d, p):
+    d = d.join(p.select(F.col("page_id").alias("p_partkey"), "url"), "p_partkey", "left")
+    return rendered_text(d, p, "p_partkey", "p_name", "url", ["p_brand", "p_type"], header={"Section": "p_type"})
+
+
 @query(None, "documents")
 def b9_chunk_text(d):
     return chunk_text(d.select("doc_id", "text"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from deskmill.functions.html_region import html_region
 from deskmill.functions.tables import stored
 from deskmill.functions.text import normalize_text, page_title
+from deskmill.operators.records import absolute_url, header_lines, record_blocks
 
 EXTENSIONS = ("txt", "md", "docx")
 
@@ -51,9 +52,32 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_text(pages: DataFrame, region: bool = False, selector: str = "", strip_chrome: bool = True) -> DataFrame:
-    """(url, title, text) of fetched pages (url, html); ``region`` keeps the content region only."""
+    """(url, title, text) of fetched pages (url, html); ``region`` keeps the content region only, and normalizes twice as rendered records do."""
     body = html_region(F.col("html"), selector, strip_chrome) if region else F.col("html")
-    return pages.select("url", page_title(F.col("html"), F.col("url")).alias("title"), normalize_text(body).alias("text"))
+    once = pages.select("url", page_title(F.col("html"), F.col("url")).alias("title"), normalize_text(body).alias("text"))
+    return _normalized(once) if region else once
+
+
+def _normalized(df: DataFrame) -> DataFrame:
+    """``df`` with normalized ``text``, which has been through normalization in part: it is made first, once (explode of one item keeps Spark from merging the steps)."""
+    made = df.select(*(c for c in df.columns if c != "text"), F.explode(F.array("text")).alias("text"))
+    return made.withColumn("text", normalize_text(F.col("text"))).select(df.columns)
+
+
+def rendered_text(records: DataFrame, pages: DataFrame, id: str, title: str, url: str, fields: list[str], labels: dict[str, str] | None = None, excluded: tuple[str, ...] | dict[str, tuple[str, ...]] = (), header: dict[str, str] | None = None, scope: str | None = None, selector: str = "", strip_chrome: bool = True) -> DataFrame:
+    """(id, text, rendered) of records by their pages (url, html): header lines, then the page's content region, normalized.
+
+    A record without an absolute URL, a page or any text in its region has its labelled fields instead.  Of several pages with
+    one URL the least html counts.
+    """
+    found = pages.where(F.col("html").isNotNull()).groupBy(F.col("url").alias("_page")).agg(F.min("html").alias("_html"))
+    body = found.select("_page", normalize_text(html_region(F.col("_html"), selector, strip_chrome)).alias("_body")).where("_body <> ''")
+    head, extra = header_lines(F.col(title), F.col(url), header), record_blocks(records, fields, labels, excluded, scope)
+    own = F.concat_ws("\n\n", F.when(head != "", head), *extra)
+    r = records.select(F.col(id).alias("id"), absolute_url(F.col(url)).alias("_url"), head.alias("_head"), own.alias("_own"))
+    r = r.join(body, F.col("_url") == F.col("_page"), "left")
+    text = F.when(F.col("_body").isNull(), F.col("_own")).otherwise(F.concat("_head", F.lit("\n\n"), "_body"))
+    return r.select("id", text.alias("text"), F.col("_body").isNotNull().alias("rendered")).transform(_normalized)
 
 
 _SITEMAP = "url array<struct<loc: string>>, sitemap array<struct<loc: string>>"

@@ -1,3 +1,4 @@
+import datetime
 import random
 import zipfile
 
@@ -11,10 +12,11 @@ from deskmill.functions.vectors import pack_vector, unpack_vector
 from deskmill.operators import moderation as M
 from deskmill.operators.chunking import chunk_text
 from deskmill.operators.embed import batches_of, embed_chunks
+from deskmill.operators.retrieval import assemble_context, source_urls
 from deskmill.operators.records import humanize, labelled_text, validate_submissions
 from deskmill.plans.views import view
 from deskmill.sources.bundle import export_bundle, import_bundle, plan_import
-from deskmill.sources.files import page_text, read_documents, sitemap_urls
+from deskmill.sources.files import page_text, read_documents, rendered_text, sitemap_urls
 from deskmill.sources.registry import register_chunk_function, register_source, source_texts
 from deskmill.streaming import jobs
 
@@ -199,6 +201,48 @@ def test_files_and_sitemaps(spark, tmp_path):
     assert len(rows) == pages.count() and all(r.text and "<" not in r.title for r in rows)
 
 
+def test_rendered_records(spark):
+    pages = spark.createDataFrame([("https://a.org/1", "<main><h2>Part</h2><p>Own &amp;lt;b&gt; words</p></main><footer>down</footer>"), ("https://a.org/2", "<nav>only chrome</nav>"), ("/3", "<p>not absolute</p>"), ("https://a.org/4", None)], "url string, html string")
+    rows = [(1, " One ", "https://a.org/1", "red", "en"), (2, "Two", "https://a.org/2", "blue", ""), (3, "Three", "/3", None, None), (4, None, "https://a.org/4", "", "en"), (5, "Five", None, "green", "fr"), (1, "Again", "https://a.org/1", "x", None), (None, None, None, None, None)]
+    records = spark.createDataFrame(rows, "id long, title string, url string, mainColour string, lang string")
+    got = sorted(((r.id, r.text, r.rendered) for r in rendered_text(records, pages, "id", "title", "url", ["mainColour"], header={"Language": "lang"}).collect()), key=str)
+    want = [
+        (1, "Title: One\nURL: https://a.org/1\nLanguage: en\n\n## Part\nOwn <b> words", True),
+        (1, "Title: Again\nURL: https://a.org/1\n\n## Part\nOwn <b> words", True),
+        (2, "Title: Two\nURL: https://a.org/2\n\nMain Colour: blue", False),
+        (3, "Title: Three", False),
+        (4, "URL: https://a.org/4\nLanguage: en", False),
+        (5, "Title: Five\nLanguage: fr\n\nMain Colour: green", False),
+        (None, "", False),
+    ]
+    assert got == sorted(want, key=str)
+    assert rendered_text(records.limit(0), pages, "id", "title", "url", ["lang"]).count() == 0
+    assert rendered_text(records, pages.limit(0), "id", "title", "url", ["lang"]).where("rendered").count() == 0
+
+
+def test_related_fields(spark):
+    option = "struct<label: string, value: string>"
+    schema = f"id long, title string, kind {option}, tags array<{option}>, photos array<struct<alt: string, title: string>>, parts array<struct<title: string, size: double, more: array<struct<title: string>>, on: boolean>>, seo struct<description: string, text: string, code: int>, rows array<array<string>>, price double, live boolean, day date"
+    row = (1, "T", (" ", "v1"), [("L", "l"), (None, "m"), (None, None), ("0", None)], [("a cat", "x"), (None, "DSC_6370"), ("", "A house"), (None, "p 20240101 1200")], [("Bolt", 2.0, [("deep",)], True), ("Bolt", None, None, None), (None, 2.5, [], False)], ("About", "About", 7), [["a", ""], ["b"], []], 649.0, True, datetime.date(2024, 2, 3))
+    df = spark.createDataFrame([row, (2, None, *[None] * 9)], schema)
+    fields = [c for c in df.columns if c not in ("id", "title")]
+    got = {r.id: r.text for r in labelled_text(df, "id", "title", None, fields, name="Shop", excluded={"*": ("day",), "T": ("seo",), "U": ("price",)}, scope="title").collect()}
+    want = ["Name: Shop\nTitle: T", "Kind: v1", "Tags:\nL\nm", "Photos:\na cat\nA house", "Parts:\nBolt\nSize: 2\nBolt\nSize: 2.5", "Rows:\na\nb", "Price: 649"]
+    assert got == {1: "\n\n".join(want), 2: "Name: Shop"}
+    assert "Seo: About\n\n" in labelled_text(df, "id", "title", None, fields).where("id = 1").first().text and "Day: 2024-02-03" in labelled_text(df, "id", "title", None, fields).first().text
+
+
+def test_context_urls(spark):
+    hits = spark.createDataFrame([(1, 2, "entry", 10, "A"), (1, 5, "url", 3, "B"), (1, 7, "file", 3, "C"), (2, 1, "category", 10, "D"), (2, 2, "entry", 11, "E"), (2, 3, "entry", 12, "F"), (2, 4, "url", 9, "G"), (2, 5, "entry", None, "H"), (2, 6, "url", 3, "I")], "query_id long, rank int, source_type string, source_id long, content string")
+    tracked = spark.createDataFrame([("entry", 10, 1, 1), ("category", 10, 2, 1), ("entry", 11, 1, 2), ("entry", 12, 3, 1)], "source_type string, id long, element_id long, site_id long")
+    elements = spark.createDataFrame([(1, 1, "live", None, "https://x.org/One/"), (1, 2, "disabled", None, "https://x.org/no"), (2, 1, "live", None, "/relative"), (3, 1, "live", datetime.datetime(2024, 1, 1), "https://x.org/gone")], "id long, site_id long, status string, date_deleted timestamp, url string")
+    urls = spark.createDataFrame([(3, "http://Y.org/p/#top"), (9, "")], "id long, url string")
+    got = {r.query_id: (r.context, r.allowed_urls) for r in assemble_context(source_urls(hits, tracked, elements, urls)).collect()}
+    sep = "\n\n---\n\n"
+    assert got[1] == (sep.join(["[1] (entry) URL: https://x.org/One/\nA", "[2] (url) URL: http://Y.org/p/#top\nB", "[3] (file)\nC"]), ["http://y.org/p", "https://x.org/One"])
+    assert got[2] == (sep.join(["[1] (category)\nD", "[2] (entry)\nE", "[3] (entry)\nF", "[4] (url)\nG", "[5] (entry)\nH", "[6] (url) URL: http://Y.org/p/#top\nI"]), ["http://y.org/p"])
+
+
 def test_urls(spark):
     assert one(spark, normalize_url, "HTTP://Ex.com:80/A/?q=1#f", "https://x.org/", "/rel/") == ["http://ex.com/A?q=1", "https://x.org", "/rel"]
     page = "<meta property='og:image' content='/i.png'><meta name=Author content=\"A &amp; B\"><meta property='og:image' content='second'>"
@@ -212,9 +256,9 @@ def test_urls(spark):
 
 
 def test_records(spark):
-    assert humanize("metaDescription") == "Meta Description" and humanize("some_field") == "Some field"
-    df = spark.createDataFrame([(1, "T", "u", "a\nb", None, 649)], "id long, title string, url string, bodyText string, none string, cena int")
-    assert labelled_text(df, "id", "title", "url", ["bodyText", "none", "cena"]).first().text == "Title: T\nURL: u\n\nBody Text:\na\nb\n\nCena: 649"
+    assert humanize("metaDescription") == "Meta Description" and humanize("some_field") == "Some field" and humanize("seoURL") == "Seo U R L"
+    df = spark.createDataFrame([(1, "T", "https://u.org", "a\nb", None, 649)], "id long, title string, url string, bodyText string, none string, cena int")
+    assert labelled_text(df, "id", "title", "url", ["bodyText", "none", "cena"]).first().text == "Title: T\nURL: https://u.org\n\nBody Text:\na\nb\n\nCena: 649"
     raw = spark.createDataFrame([(1, "f", '{"email":"bad","boxes":"a, b","src":"x","ok":"yes"}'), (2, "f", '{"email":"a@b.co","boxes":["z"],"ok":"off"}')], "id long, form_name string, payload string")
     fields = spark.createDataFrame([("f", "email", "email", True, None, None), ("f", "boxes", "checkboxes", False, ["a", "b"], None), ("f", "src", "hidden", False, None, "const"), ("f", "ok", "consent", True, None, None)], "form_name string, name string, type string, required boolean, options array<string>, value string")
     got = {r.id: (r["values"], r.missing, r.invalid) for r in validate_submissions(raw, fields).collect()}
