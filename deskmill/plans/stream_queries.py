@@ -31,7 +31,7 @@ def g2_stream_rate_limit(spark, sf_dir):
 def g3_stream_sweep(spark, sf_dir):
     events = timers.activity_events(view(spark, sf_dir, "sessions"), view(spark, sf_dir, "messages"))
     tick = spark.range(1).select(F.lit(None).cast("long").alias("session_id"), NOW().alias("ts"), F.lit("tick").alias("kind"))
-    closed = timers.run_available(spark, events.unionByName(tick), lambda s: timers.stream_sweep(s, 15, "0 seconds"))
+    closed = timers.run_available(spark, events.unionByName(tick), lambda s: timers.stream_sweep(s, 15, "0 seconds", NOW()))
     return closed.withColumn("last_activity", F.col("last_activity").cast("timestamp_ntz"))
 
 

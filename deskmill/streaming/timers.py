@@ -165,17 +165,19 @@ class _Sweep(_Expiring):
             yield pd.DataFrame({"session_id": [int(key[0])], "last_us": [last]})
 
 
-def stream_sweep(events: DataFrame, minutes: int = 15, lateness: str = "1 hour") -> DataFrame:
+def stream_sweep(events: DataFrame, minutes: int = 15, lateness: str = "1 hour", now: Column | None = None) -> DataFrame:
     """(session_id, last_activity) of open hand-offs once their last activity of any kind is more than some minutes before the watermark.
 
     ``events`` are (session_id, ts, kind): ``activity``, ``open``, ``close``, or ``tick``, which only moves the clock on; events
     without a session are ignored.
     A session's state goes when its timer fires, whether it was open or not; an ``open`` counts as activity, so a session
-    that is opened later starts with that.
+    that is opened later starts with that.  With ``now`` an event that is later counts as of then: it keeps its session
+    open and doesn't move the clock on.
     """
     if minutes <= 0:
         return events.where("false").select("session_id", F.to_timestamp_ltz("ts").alias("last_activity"))
-    rows = _timed(events.select("session_id", _us(F.col("ts")).alias("us"), "kind"), "event_time", lateness)
+    us = _us(F.col("ts")) if now is None else F.when(F.col("ts").isNotNull(), F.least(_us(F.col("ts")), _us(now)))
+    rows = _timed(events.select("session_id", us.alias("us"), "kind"), "event_time", lateness)
     # Ticks end here; the condition names the event time, so that it isn't moved in front of the watermark.
     rows = rows.where("session_id IS NOT NULL AND kind <> 'tick' OR event_time IS NULL")
     closed = rows.groupBy("session_id").transformWithStateInPandas(_Sweep(minutes * 60_000_000), "session_id long, last_us long", "Append", "EventTime")

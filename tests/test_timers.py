@@ -80,6 +80,13 @@ def test_sweep_of_tables_and_no_minutes(spark):
     assert timers.stream_sweep(events, 0).count() == 0
 
 
+def test_events_after_now_keep_their_session_open(spark, tmp_path):
+    events = [(1, at(10), "open"), (2, at(10), "open"), (2, at(200), "activity"), (3, at(100), "open"), (4, at(19), "open"), (5, at(10), "open"), (5, at(90), "close")]
+    rows = spark.createDataFrame([*events, (None, at(35), "tick")], EVENT)
+    got = timers.run_available(spark, rows, lambda s: timers.stream_sweep(s, 15, "0 seconds", F.lit(at(35))))
+    assert sorted(map(tuple, got.collect())) == [(1, at(10)), (4, at(19))]
+
+
 def test_rate_limit_equals_batch_and_forgets(spark, tmp_path):
     got = QUERIES["g2_stream_rate_limit"](spark, SF)
     a = view(spark, SF, "attempts").withColumnRenamed("session_id", "session")
