@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deskmill.functions import text as T
-from deskmill.functions.html_region import region
+from deskmill.functions.html_region import Node, region
 from deskmill.functions.urls import audit_links, normalize_url, og_image, og_meta, strip_links
 from deskmill.functions.vectors import pack_vector, unpack_vector
 from deskmill.operators import moderation as M
@@ -78,6 +78,18 @@ def test_known_urls_of_repeated_pages(spark, tmp_path):
     assert [(r.url, r.site_id) for r in got] == [("http://a.org/x", 1)]
 
 
+def test_a_page_leaves_no_tree_behind():
+    import gc
+
+    gc.collect()
+    gc.disable()
+    try:
+        region("<body><nav>up</nav><main>" + "<p>word <b>bold</b></p>" * 50 + "</main></body>")
+        assert not any(isinstance(o, Node) for o in gc.get_objects())
+    finally:
+        gc.enable()
+
+
 def test_region():
     nav = "<nav>menu</nav>"
     body = "word " * 30
