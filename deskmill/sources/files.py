@@ -71,7 +71,8 @@ def rendered_text(records: DataFrame, pages: DataFrame, id: str, title: str, url
     one URL the least html counts.
     """
     found = pages.where(F.col("html").isNotNull()).groupBy(F.col("url").alias("_page")).agg(F.min("html").alias("_html"))
-    body = found.select("_page", normalize_text(html_region(F.col("_html"), selector, strip_chrome)).alias("_body")).where("_body <> ''")
+    # Exploded, so that Spark doesn't make the body a second time for the filter.
+    body = found.select("_page", F.explode(F.array(normalize_text(html_region(F.col("_html"), selector, strip_chrome)))).alias("_body")).where("_body <> ''")
     head, extra = header_lines(F.col(title), F.col(url), header), record_blocks(records, fields, labels, excluded, scope)
     own = F.concat_ws("\n\n", F.when(head != "", head), *extra)
     r = records.select(F.col(id).alias("id"), absolute_url(F.col(url)).alias("_url"), head.alias("_head"), own.alias("_own"))

@@ -246,6 +246,13 @@ def test_rendered_records(spark):
     assert rendered_text(records, pages.limit(0), "id", "title", "url", ["lang"]).where("rendered").count() == 0
 
 
+def test_rendered_bodies_are_made_once(spark):
+    pages = spark.createDataFrame([("https://a.org/1", "<p>x</p>")], "url string, html string")
+    d = spark.createDataFrame([(1, "One", "https://a.org/1", "v")], "id long, title string, url string, f string")
+    plan = rendered_text(d, pages, "id", "title", "url", ["f"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1
+
+
 def test_related_fields(spark):
     option = "struct<label: string, value: string>"
     schema = f"id long, title string, kind {option}, tags array<{option}>, photos array<struct<alt: string, title: string>>, parts array<struct<title: string, size: double, more: array<struct<title: string>>, on: boolean>>, seo struct<description: string, text: string, code: int>, rows array<array<string>>, price double, live boolean, day date"
