@@ -69,7 +69,9 @@ def lexical_index(chunks: DataFrame, queries: DataFrame | None = None, text: str
     cuts = F.lit(1 + words.count() // _CUT)
     postings = words.select("chunk_id", "site_id", F.greatest(F.lit(1), F.size("stems")).alias("length"), "width", F.explode(_terms(F.col("stems"))).alias("t")).select("*", "t.stem", "t.tf")
     if queries is not None:
-        postings = postings.join(query_stems(queries).select("stem").distinct(), "stem", "left_semi")
+        # Stored, so that Spark broadcasts it by its measured size; else every stem of every chunk would be shuffled.
+        vocabulary = stored(query_stems(queries).select("stem").distinct(), "vocabulary")
+        postings = postings.join(vocabulary, "stem", "left_semi")
     postings = stored(postings.select("stem", _band(F.col("width")).alias("band"), F.pmod(F.xxhash64("chunk_id"), cuts).alias("cut"), "chunk_id", "site_id", "tf", "length", "width"), "postings")
     blocks = postings.groupBy("stem", "site_id", "band", "cut").agg(F.count("*").alias("n"), F.max("width").alias("width"), F.max(F.col("tf") / F.col("length")).alias("share"))
     block = F.struct("width", "band", "cut", "site_id", "share", "n")  # in this order: the widest first
@@ -96,10 +98,14 @@ def _read(wanted: DataFrame, index: LexicalIndex) -> DataFrame:
 
 
 def _scored(pairs: DataFrame, words: DataFrame, index: LexicalIndex) -> DataFrame:
-    """(query_id, chunk_id, proxy, terms) of pairs (query_id, chunk_id): all matches of each, by one join on chunk and stem."""
-    wanted = pairs.join(words.select("query_id", "stem"), "query_id")
+    """(query_id, chunk_id, proxy, terms) of pairs (query_id, chunk_id): all matches of each.
+
+    Pairs meet all postings of their chunk, and those stay that the query has too, by a broadcast of the queries' stems:
+    so a pair is shuffled as one row, not once for each stem of its query, and its matches are summed where they are found.
+    """
     p = index.postings.select("chunk_id", "stem", "tf", "length")
-    return wanted.join(p, ["chunk_id", "stem"]).groupBy("query_id", "chunk_id").agg(_proxy().alias("proxy"), F.collect_list(F.struct("stem", "tf", "length")).alias("terms"))
+    found = pairs.join(p, "chunk_id").join(F.broadcast(words.select("query_id", "stem")), ["query_id", "stem"], "left_semi")
+    return found.groupBy("query_id", "chunk_id").agg(_proxy().alias("proxy"), F.collect_list(F.struct("stem", "tf", "length")).alias("terms"))
 
 
 def _proxy() -> Column:
