@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deskmill.functions.tables import stored
 from deskmill.functions.text import stems
 from deskmill.functions.urls import normalize_url
 from deskmill.operators.postings import LexicalIndex, lexical_index, search
@@ -159,16 +160,17 @@ def rrf_fuse(cosine_pool: DataFrame, lexical: DataFrame, rrf_k: int = 60, k: int
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 30, min_score: float = 0.0, hybrid: bool = True, site_filter: bool = True, min_pool: int = 100) -> DataFrame:
     """Best chunks of every query by cosine and BM25, fused; word statistics are those of the query's scope."""
     pool = max(k, min_pool)
-    near = vector_topk(queries, chunks, pool, min_score, site_filter)
+    # Results are short (queries x pool): stored, they are made once, and joins with chunks broadcast them by their measured size.
+    near = stored(vector_topk(queries, chunks, pool, min_score, site_filter), "nearest")
     if not hybrid:
         return near.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", F.lit(None).cast("double").alias("fused"), "rank")
     index = lexical_index(chunks, queries)
     found = lexical_candidates(queries, index, pool, site_filter)
-    words = scoped_bm25(found, queries, index) if site_filter else bm25(found, *corpus_stats(chunks))
+    words = stored(scoped_bm25(found, queries, index) if site_filter else bm25(found, *corpus_stats(chunks)), "bm25")
     # Only the pool's chunks carry their vectors along.
     words = words.join(chunks.select(F.col("id").alias("chunk_id"), "embedding"), "chunk_id").join(queries.select("query_id", "vector"), "query_id")
     words = words.select("query_id", "chunk_id", "bm25", cosine(F.col("vector"), F.col("embedding")).alias("score"))
-    return rrf_fuse(near, words, k=k)
+    return stored(rrf_fuse(near, words, k=k), "hits")
 
 
 def mmr_rerank(candidates: DataFrame, limit: int = 5, lam: float = 0.7) -> DataFrame:

@@ -1,8 +1,12 @@
 import random
+import re
 
 import pytest
 
 from deskmill.operators import postings as P
+from deskmill.operators import retrieval as R
+from deskmill.plans.registry import QUERIES
+from deskmill.plans.views import view
 
 
 def full_scan(queries, chunks, pool, site_filter):
@@ -59,3 +63,30 @@ def test_empty_tables(spark):
     q = spark.createDataFrame([(1, 1, "word")], "query_id long, site_id int, text string")
     for queries, chunks, n in ((q, c, 1), (q.limit(0), c, 0), (q, c.limit(0), 0)):
         assert P.search(queries, P.lexical_index(chunks, queries), 5).count() == n
+
+
+def test_a_pair_is_shuffled_once(spark):
+    c = spark.createDataFrame([(i, 1, f"word hot w{i}", [1.0]) for i in range(20)], "id long, site_id int, content string, embedding array<float>")
+    q = spark.createDataFrame([(1, 1, "word hot other w3")], "query_id long, site_id int, text string")
+    index = P.lexical_index(c, q)
+    words = P._words(q, index, True)
+    pairs = c.selectExpr("1L AS query_id", "id AS chunk_id").repartition(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = P._scored(pairs, words.localCheckpoint(), index)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert not any("stem" in keys for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan))
+        assert {r.chunk_id: len(r.terms) for r in scored.collect()} == {i: 3 if i == 3 else 2 for i in range(20)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_index_and_stored_hits(spark, monkeypatch):
+    built = []
+    make = P.lexical_index
+    for module in (P, R):
+        monkeypatch.setattr(module, "lexical_index", lambda *a: built.append(1) or make(*a))
+    assert QUERIES["d5_bm25"](spark, "/root/testdata/sf0.001").count() and len(built) == 1
+    q, c = (view(spark, "/root/testdata/sf0.001", n) for n in ("queries", "chunks"))
+    hits = R.hybrid_search(q, c, k=3)
+    assert len(built) == 2 and "Window" not in hits._jdf.queryExecution().executedPlan().toString()
