@@ -35,3 +35,10 @@ def table_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame | Non
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python gets at most so many texts at a time from now on: a batch lies in the JVM and twice in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)

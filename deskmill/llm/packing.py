@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deskmill.functions.tables import small_batches
 from deskmill.llm.tokens import VOCAB, encoder
 from deskmill.llm.words import pieces
 
@@ -112,7 +113,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, vocab: str = VOCAB, en
             held = 0
             return out
 
-        for part in (p for batch in batches for p in pieces(batch, max_bytes=1 << 21)):
+        for part in (p for batch in batches for p in pieces(batch, max_bytes=1 << 19)):
             found, counts = tokens.encode_ended(part["text"], end_id)
             data, end = found.astype("<u4").tobytes(), 0
             for doc_id, n in zip(part["doc_id"].to_pylist(), counts.tolist(), strict=True):
@@ -122,11 +123,12 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, vocab: str = VOCAB, en
                     emit([(doc_id, capacity, at, data[begin + 4 * at : begin + 4 * (at + capacity)], n)])
                 if whole < n and (window := packer.place((doc_id, n - whole, whole, data[begin + 4 * whole : end], n))):
                     emit(window)
-                if held > 1 << 20:
+                if held > 1 << 18:
                     yield batch_of()
         for window in _cut([p for w in packer.rest() for p in w], capacity):
             emit(window)
         if rows:
             yield batch_of()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, PIECES)

@@ -18,8 +18,9 @@ U64 = np.uint64
 #: Odd multiplier of the byte polynomial and its inverse modulo 2**64.
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
-#: Length up to which powers are kept; longer buffers are worked in pieces of this size.
-_PIECE = 1 << 22
+#: Length up to which powers are kept; longer buffers are worked in pieces of this size.  A worker keeps the
+#: powers while it lives and a piece takes some 40 bytes a byte, so this is small; hashes don't depend on it.
+_PIECE = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -1,11 +1,13 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from deskmill.llm import simple8b
+from deskmill.llm import simple8b, words
 from deskmill.llm.common import shared_folder
 from deskmill.llm.packing import SumOfSquares, pack_documents
 from deskmill.llm.token_files import read_token_files, write_token_files
@@ -101,6 +103,32 @@ def test_packing_keeps_every_id_once(spark, tokenizer):
     assert pack_documents(df.limit(0)).count() == 0
 
 
+def test_packing_takes_few_texts_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(name)
+    df = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text")).coalesce(1)
+    got = pack_documents(df, 64).select("doc_id", "length", "doc_tokens").collect()
+    assert int(spark.conf.get(name)) == 1000
+    assert {r.doc_id for r in got} == set(range(2500)) and sum(r.length for r in got) == 2500 * got[0].doc_tokens
+    spark.conf.set(name, 10)
+    pack_documents(df, 64)
+    assert int(spark.conf.get(name)) == 10  # fewer stay
+    spark.conf.unset(name)
+
+
+def test_word_hashes_need_little_memory():
+    data = np.frombuffer(b"word and another " * 400_000, np.uint8)
+    edge = np.flatnonzero(data[1:] == 0x20)[:-1] + 1
+    start, end = np.append(0, edge[:-1] + 1), edge
+    words._TABLES.clear()
+    tracemalloc.start()
+    found = words.word_hashes(data, start, end)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept - found.nbytes < 8e6 and peak - found.nbytes < 40e6
+    assert (found == np.resize(found[:3], len(found))).all() and len(set(found[:3].tolist())) == 3
+
+
 def test_sum_of_squares_takes_the_least_sum():
     rng = np.random.default_rng(5)
     packer = SumOfSquares(16)
