@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deskmill.functions.html_region import html_region
-from deskmill.functions.tables import stored
+from deskmill.functions.tables import small_batches, stored
 from deskmill.functions.text import normalize_text, page_title
 from deskmill.operators.records import absolute_url, header_lines, record_blocks
 
@@ -53,6 +53,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def page_text(pages: DataFrame, region: bool = False, selector: str = "", strip_chrome: bool = True) -> DataFrame:
     """(url, title, text) of fetched pages (url, html); ``region`` keeps the content region only, and normalizes twice as rendered records do."""
+    small_batches(pages.sparkSession)
     body = html_region(F.col("html"), selector, strip_chrome) if region else F.col("html")
     once = pages.select("url", page_title(F.col("html"), F.col("url")).alias("title"), normalize_text(body).alias("text"))
     return _normalized(once) if region else once
@@ -70,6 +71,7 @@ def rendered_text(records: DataFrame, pages: DataFrame, id: str, title: str, url
     A record without an absolute URL, a page or any text in its region has its labelled fields instead.  Of several pages with
     one URL the least html counts.
     """
+    small_batches(pages.sparkSession)
     found = pages.where(F.col("html").isNotNull()).groupBy(F.col("url").alias("_page")).agg(F.min("html").alias("_html"))
     # Exploded, so that Spark doesn't make the body a second time for the filter.
     body = found.select("_page", F.explode(F.array(normalize_text(html_region(F.col("_html"), selector, strip_chrome)))).alias("_body")).where("_body <> ''")

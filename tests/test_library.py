@@ -227,6 +227,17 @@ def test_files_and_sitemaps(spark, tmp_path):
     assert len(rows) == pages.count() and all(r.text and "<" not in r.title for r in rows)
 
 
+def test_pages_reach_python_a_few_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    pages = spark.range(2100).selectExpr("concat('u', id) AS url", "concat('<nav>up</nav><main>page ', id, '</main>') AS html").coalesce(1)
+    for made in (lambda: page_text(pages, region=True), lambda: rendered_text(pages, pages, "url", "url", "url", [])):
+        spark.conf.unset(name)
+        made()
+        assert int(spark.conf.get(name)) == 1000
+    assert {(r.url, r.text) for r in page_text(pages, region=True).collect()} == {(f"u{i}", f"page {i}") for i in range(2100)}
+    spark.conf.unset(name)
+
+
 def test_rendered_records(spark):
     pages = spark.createDataFrame([("https://a.org/1", "<main><h2>Part</h2><p>Own &amp;lt;b&gt; words</p></main><footer>down</footer>"), ("https://a.org/2", "<nav>only chrome</nav>"), ("/3", "<p>not absolute</p>"), ("https://a.org/4", None)], "url string, html string")
     rows = [(1, " One ", "https://a.org/1", "red", "en"), (2, "Two", "https://a.org/2", "blue", ""), (3, "Three", "/3", None, None), (4, None, "https://a.org/4", "", "en"), (5, "Five", None, "green", "fr"), (1, "Again", "https://a.org/1", "x", None), (None, None, None, None, None)]
